@@ -55,7 +55,7 @@ t AS (SELECT sec_id, sec_id AS root, 0 AS depth, heading AS path, raw IS NOT NUL
 
 _REFS = f"""
 r AS (SELECT 'man_docs' AS src_table, doc_id AS src_key, 'see_also' AS ref_field, 'page' AS tab,
-        nullif({_TRIM.format('x.name')}, '') || '.' || nullif({_TRIM.format('x.section')}, '') AS ref_key, loaded_at AS at
+        nullif({_TRIM.format('x.name')}, '') || '.' || nullif({_TRIM.format('x.section')}, '') AS ref_key, loaded_at AS seen
       FROM (SELECT doc_id, loaded_at, unnest(see_also) AS x FROM man_docs)
       UNION SELECT 'emacs_questions', qid, 'gold_sec_ids', 'section', nullif({_TRIM.format('x')}, ''), loaded_at
       FROM (SELECT qid, loaded_at, unnest(gold_sec_ids) AS x FROM emacs_questions)
@@ -63,8 +63,8 @@ r AS (SELECT 'man_docs' AS src_table, doc_id AS src_key, 'see_also' AS ref_field
 p AS (SELECT 'page' AS tab, doc_id AS ref_key, bool_and(removed_at IS NOT NULL) AS removed, min(loaded_at) AS arrived FROM man_docs GROUP BY doc_id
       UNION ALL SELECT 'section', sec_id, false, min(loaded_at) FROM sections GROUP BY sec_id),
 o AS (SELECT DISTINCT src_table, src_key, ref_field, r.ref_key,
-        CASE WHEN p.ref_key IS NULL THEN 'missing' WHEN removed THEN 'deleted' WHEN arrived > at THEN 'late' END AS state,
-        strftime(at, '%Y-%m') AS ref_month
+        CASE WHEN p.ref_key IS NULL THEN 'missing' WHEN removed THEN 'deleted' WHEN arrived > seen THEN 'late' END AS state,
+        strftime(seen, '%Y-%m') AS ref_month
       FROM r LEFT JOIN p ON r.tab = p.tab AND r.ref_key = p.ref_key WHERE r.ref_key IS NOT NULL)"""
 
 SQL = {
