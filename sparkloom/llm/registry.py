@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import neardup, splits
+from sparkloom.llm import leakage, neardup, splits, terms
 from sparkloom.runtime import materialize, table
 
 REFS = ["variant_of", "paraphrase_of"]
@@ -39,8 +39,41 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return one[0].unionByName(one[1]).select("tab", "key", "group", "links")
 
 
+def _terms(spark: SparkSession, d: str, sigma: int) -> DataFrame:
+    return terms.marked_terms(terms.without_repeats(table(spark, d, "chunks"), "chunk_id", "rowid"), ["text", "prefix"], sigma)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Words that too few or too many chunks hold."""
+    return _terms(spark, d, 1).where("mark is not null").select("field", "term", "mark")
+
+
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every word and every two successive words: occurrences, chunks and mark."""
+    return _terms(spark, d, 2)
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "chunks"), table(spark, d, "emacs_questions"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that repeat wording of a question without being its evidence."""
+    return leakage.without_evidence(_leaks(spark, d), table(spark, d, "emacs_questions")).select("chunk_id", "qid").distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked question with the number of chunks that hold it."""
+    return p5_found(spark, d).groupBy("qid").agg(F.count("*").alias("n_chunks"))
+
+
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of words to remove from each chunk."""
+    return leakage.removal_spans(leakage.without_evidence(_leaks(spark, d), table(spark, d, "emacs_questions")))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups)}
+    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans)}
 
 
 SQL: dict[str, str] = {}
