@@ -134,6 +134,8 @@ def _set_ids(h: np.ndarray, rec: np.ndarray, n: int) -> np.ndarray:
 
 def _pairs_of_part(entries: np.ndarray, t: Fraction) -> np.ndarray:
     """Distinct pairs (smaller id, larger id) within the buckets whose sizes and fingerprints allow a similarity of t."""
+    if not len(entries):
+        return np.empty((0, 2), np.uint64)
     entries = entries[np.lexsort((entries["id"], entries["bucket"]))]
     same = np.r_[False, (entries["bucket"][1:] == entries["bucket"][:-1]) & (entries["id"][1:] == entries["id"][:-1])]
     entries = entries[~same]
