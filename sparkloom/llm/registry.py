@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import leakage, neardup, splits, terms
+from sparkloom.llm import encode, leakage, neardup, pack, pairs, splits, terms
 from sparkloom.runtime import materialize, table
 
 REFS = ["variant_of", "paraphrase_of"]
@@ -72,8 +72,35 @@ def p5_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.removal_spans(leakage.without_evidence(_leaks(spark, d), table(spark, d, "emacs_questions")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each answer that is no proper response, with its defect."""
+    return pairs.defective_pairs(table(spark, d, "p9probe_ctx4b_answers"), table(spark, d, "documents"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each document."""
+    return encode.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose decoded ids are not their text: none."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    back = encode.decode_corpus(p8_ids(spark, d), "doc_id", "ids")
+    return docs.join(back, "doc_id", "full").where(~F.col("was").eqNullSafe(F.col("text"))).select("doc_id")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every container with its items and their texts."""
+    return pack.pack_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Number of containers, the least possible, and the share of unused space."""
+    return pack.container_fill(p9_containers(spark, d))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans)}
+    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans, p7_found, p8_ids, p8_roundtrip, p9_containers, p9_fill)}
 
 
 SQL: dict[str, str] = {}
