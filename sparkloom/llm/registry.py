@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import encode, leakage, neardup, pack, pairs, splits, terms
+from sparkloom.llm import encode, leakage, neardup, pack, pairs, quality, splits, terms
 from sparkloom.runtime import materialize, table
 
 REFS = ["variant_of", "paraphrase_of"]
@@ -99,8 +99,18 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.container_fill(p9_containers(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that is not mainly prose, with its form."""
+    return p10_stats(spark, d).where("form <> 'prose'").select("doc_id", "form").distinct()
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Quality statistics and form of each document."""
+    return quality.text_statistics(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans, p7_found, p8_ids, p8_roundtrip, p9_containers, p9_fill)}
+    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans, p7_found, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_stats)}
 
 
 SQL: dict[str, str] = {}
