@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import corpus_queries
+from sparkloom.plans import corpus_queries, retrieval_queries, text_queries
 
-MODULES = [corpus_queries]
+MODULES = [retrieval_queries, text_queries, corpus_queries]
 
 
 def queries() -> dict:
