@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.scalars import found
 
@@ -63,12 +64,12 @@ def shortened(word: str, most: int) -> list[str]:
     return sorted(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _shortened(words: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([shortened(w, int(m)) for w, m in zip(words, most)])
 
 
-@F.pandas_udf("struct<distance int, far boolean>")
+@F.pandas_udf(T.StructType([T.StructField("distance", T.IntegerType()), T.StructField("far", T.BooleanType())]))
 def _compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"distance": [osa(x, y) for x, y in zip(a, b)], "far": [not beside(x, y) for x, y in zip(a, b)]})
 
