@@ -61,7 +61,7 @@ def compare(control: DataFrame, arm: DataFrame, by: list[str] | None = None) ->
         n(ok & F.col("x") & F.col("y")).alias("kept"), n(ok & F.col("x") & ~F.col("y")).alias("lost"), n(ok & ~F.col("x") & F.col("y")).alias("gained"), n(ok & ~F.col("x") & ~F.col("y")).alias("both_wrong"),
         (n(~ok & F.col("ya")) - n(~ok & F.col("xa"))).alias("abstention"),
     )
-    out = out.withColumn("net", F.col("gained") - F.col("lost")).withColumn("p", F.round(exact_sign_p(F.col("gained"), F.col("lost")), 6))
+    out = out.withColumn("net", F.col("gained") - F.col("lost")).withColumn("p", F.round(exact_sign_p(F.col("gained"), F.col("lost")) + 1e-11, 6))
     return out.withColumn("passed", (F.col("net") >= MIN_NET) & (F.col("lost") <= MAX_LOST) & (F.col("abstention") >= MIN_ABSTENTION))
 
 

@@ -35,7 +35,7 @@ _PAIR = "j AS (SELECT c.key, c.answerable AS a, c.correct AND NOT c.abstained AS
 _COUNTS = """count(*) FILTER (a AND x AND y) AS kept, count(*) FILTER (a AND x AND NOT y) AS lost, count(*) FILTER (a AND NOT x AND y) AS gained, count(*) FILTER (a AND NOT x AND NOT y) AS both_wrong,
 count(*) FILTER (NOT a AND ya) - count(*) FILTER (NOT a AND xa) AS abstention"""
 _TAIL = """*, gained - lost AS net, CASE WHEN gained + lost = 0 THEN 1.0 ELSE round(least(1.0, 2 * coalesce((SELECT sum(exp(lgamma(gained + lost + 1) - lgamma(k + 1) - lgamma(gained + lost - k + 1) - (gained + lost) * ln(2.0::DOUBLE)))
-FROM generate_series(greatest(gained, lost), gained + lost) AS g(k)), 0)), 6) END AS p, gained - lost >= 4 AND lost <= 1 AND abstention >= 0 AS passed"""
+FROM generate_series(greatest(gained, lost), gained + lost) AS g(k)), 0)) + 1e-11, 6) END AS p, gained - lost >= 4 AND lost <= 1 AND abstention >= 0 AS passed"""
 
 
 @query(f"WITH {_RUNS}, {_PAIR}, s AS (SELECT {_COUNTS} FROM j) SELECT {_TAIL} FROM s")

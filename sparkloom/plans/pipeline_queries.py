@@ -144,11 +144,11 @@ def stream_ingest_dedupe(spark, d):
     return store.chunks().select("chunk_id")
 
 
-@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 600 SECOND THEN 1 ELSE 0 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 600 SECOND THEN 1 ELSE 0 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id AS "user", min(ts) AS begin, max(ts) + INTERVAL 600 SECOND AS stop, count(*) AS n FROM k GROUP BY user_id, k""")
 def idle_sessions(spark, d):
-    """Runs of a user's events less than ten minutes apart."""
+    """Runs of a user's events at most ten minutes apart."""
     return ST.idle_sessions(table(spark, d, "events"), "user_id", "ts")
 
 

@@ -12,9 +12,9 @@ _HEADER = r"(?m)^File: [^\n]*?Node: ([^,\n\t]+)"
 
 
 def nodes(manuals: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, k, node, body): segments between U+001F that have a File and Node header, without it."""
-    seg = manuals.select(key, F.posexplode(F.split(text, "\x1f")).alias("k", "s")).where(F.col("s").rlike(_HEADER))
-    return seg.select(key, "k", F.trim(F.regexp_extract("s", _HEADER, 1)).alias("node"), F.regexp_replace("s", r"(?s)^\s*File: [^\n]*\n", "").alias("body"))
+    """(key, node_no, node, body): segments between U+001F that have a File and Node header, without it."""
+    seg = manuals.select(key, F.posexplode(F.split(text, "\x1f")).alias("node_no", "_s")).where(F.col("_s").rlike(_HEADER))
+    return seg.select(key, "node_no", F.trim(F.regexp_extract("_s", _HEADER, 1)).alias("node"), F.regexp_replace("_s", r"(?s)^\s*File: [^\n]*\n", "").alias("body"))
 
 
 def strip_menu(text: str) -> str:
@@ -45,11 +45,11 @@ def convert(manuals: DataFrame, key: str, text: str) -> DataFrame:
     """
     cut = F.udf(strip_menu, "string")
     n = nodes(manuals, key, text).where(~F.col("node").endswith("Index"))
-    again = F.row_number().over(W.partitionBy(key, "node").orderBy("k"))
+    again = F.row_number().over(W.partitionBy(key, "node").orderBy("node_no"))
     name = F.when(again > 1, F.concat("node", F.lit(" ("), again.cast("string"), F.lit(")"))).otherwise(F.col("node"))
     part = F.concat(F.lit("# "), name, F.lit("\n\n"), neutral_headings(cut("body")))
-    got = n.select(key, "k", part.alias("p")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("ps"))
-    return got.select(key, F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n").alias("markdown"))
+    got = n.select(key, "node_no", part.alias("_p")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node_no", "_p"))).alias("_ps"))
+    return got.select(key, F.array_join(F.transform("_ps", lambda x: x["_p"]), "\n\n").alias("markdown"))
 
 
 def index_entries(c: Column) -> Column:

@@ -31,7 +31,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def read_texts(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("md", "txt", "html")) -> DataFrame:
     """(path, text): all files below a folder with one of the suffixes, a row each."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 class ChunkStore:

@@ -25,7 +25,7 @@ def fresh(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> Data
 
 
 def idle_sessions(events: DataFrame, user: str, time: str, gap: str = "600 seconds", delay: str | None = None) -> DataFrame:
-    """(user, begin, stop, n): runs of events of a user less than ``gap`` apart; stop is the last event plus the gap.
+    """(user, begin, stop, n): runs of events of a user at most ``gap`` apart; stop is the last event plus the gap.
 
     Works on a stream (give ``delay``, the watermark) and on a table alike. Null users and times take no part.
     """
@@ -40,7 +40,7 @@ def islands(events: DataFrame, user: str, time: str, gap_seconds: int = 600) ->
     """The same by gaps and islands, for tables."""
     w = W.partitionBy("user").orderBy("t")
     e = events.select(F.col(user).alias("user"), F.col(time).alias("t")).where("user is not null and t is not null")
-    e = e.withColumn("new", (F.unix_micros("t") - F.unix_micros(F.lag("t").over(w)) >= gap_seconds * 1_000_000).cast("int"))
+    e = e.withColumn("new", (F.unix_micros("t") - F.unix_micros(F.lag("t").over(w)) > gap_seconds * 1_000_000).cast("int"))
     e = e.withColumn("k", F.sum(F.coalesce("new", F.lit(1))).over(w))
     return e.groupBy("user", "k").agg(F.min("t").alias("begin"), (F.max("t") + F.expr(f"interval {gap_seconds} seconds")).alias("stop"), F.count("*").alias("n")).drop("k")
 
