@@ -7,7 +7,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +90,9 @@ def stem(w: str) -> str:
     return w
 
 
+stem = lru_cache(maxsize=200_000)(stem)
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, stemmed: bool = False) -> DataFrame:
     """(qid, rank, chunk_id, score): the k best chunks of each question.
 
@@ -132,33 +137,40 @@ def _block(chunks: DataFrame, asked: dict[str, list[str]], k: int, stemmed: bool
     mean = words / total if total else 1.0
     idf = {t: max(math.log((total - n + 0.5) / (n + 0.5)), 1e-6) for t, (n, _) in stats.items()}
 
+    qids = sorted(asked)
+    number = {q: i for i, q in enumerate(qids)}
+    index = chunks.sparkSession.sparkContext.broadcast({t: np.array(sorted(number[q] for q in qs), np.int64) for t, qs in by_term.items() if t in idf})
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        best: dict[str, list[tuple[float, tuple, str]]] = {}
+        at = index.value
+        best: list[list[tuple[float, tuple, str]]] = [[] for _ in qids]
+        sums, least = np.zeros(len(qids)), np.full(len(qids), -1.0)
         for b in batches:
             for c, p, t in zip(b["chunk_id"].to_pylist(), b["prefix"].to_pylist(), b["text"].to_pylist()):
                 ps, ts = cut(p), cut(t)
                 f: dict[str, float] = {}
                 for w in ps:
-                    if w in known:
+                    if w in at:
                         f[w] = f.get(w, 0.0) + PREFIX_WEIGHT
                 for w in ts:
-                    if w in known:
+                    if w in at:
                         f[w] = f.get(w, 0.0) + TEXT_WEIGHT
+                if not f:
+                    continue
                 norm = K1 * (1 - B + B * (len(ps) + len(ts)) / mean)
-                sums: dict[str, float] = {}
+                sums[:] = 0.0
                 for w in sorted(f):
-                    s = idf[w] * f[w] * (K1 + 1) / (f[w] + norm)
-                    for q in known[w]:
-                        sums[q] = sums.get(q, 0.0) + s
-                for q, s in sums.items():
-                    heap = best.setdefault(q, [])
-                    item = (round(s, 9), tuple(-ord(x) for x in c), c)
+                    sums[at[w]] += idf[w] * f[w] * (K1 + 1) / (f[w] + norm)
+                s = np.round(sums, 9)
+                for q in np.flatnonzero((s >= least) & (s > 0)).tolist():
+                    item, heap = (float(s[q]), tuple(-ord(x) for x in c), c), best[q]
                     if len(heap) < k:
                         heapq.heappush(heap, item)
                     elif item > heap[0]:
                         heapq.heapreplace(heap, item)
-        rows = [(q, c, s) for q, heap in best.items() for s, _, c in heap]
+                    if len(heap) == k:
+                        least[q] = heap[0][0]
+        rows = [(qids[q], c, s) for q, heap in enumerate(best) for s, _, c in heap]
         yield pa.RecordBatch.from_pydict({"qid": pa.array([r[0] for r in rows], pa.string()), "chunk_id": pa.array([r[1] for r in rows], pa.string()), "score": pa.array([r[2] for r in rows], pa.float64())})
 
     got = docs.where("chunk_id is not null").mapInArrow(score, "qid string, chunk_id string, score double")

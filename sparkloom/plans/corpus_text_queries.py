@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from sparkloom.functions import scalars as S
 from sparkloom.operators import chunking as C
 from sparkloom.operators import corpus, lexical, spelling
 from sparkloom.operators import retrieval as R
+from sparkloom.operators.asof import latest_before
 from sparkloom.operators.prefix import quantiles
+from sparkloom.operators.setjoin import similar
 from sparkloom.plans.spec import Registry
 from sparkloom.runtime import materialize, table
 
@@ -53,11 +57,12 @@ def bm25_porter(spark, d):
     return lexical.bm25(_chunks(spark, d), _asked(spark, d), stemmed=True)
 
 
-_WINDOWS = """w AS (SELECT doc_id, text, 0::BIGINT AS k, 0::BIGINT AS a, least(1000, length(text))::BIGINT AS hard FROM documents WHERE length(text) > 0),
-v AS (SELECT doc_id, text, k, a, CASE WHEN hard < length(text) AND instr(reverse(substr(text, a + 501, hard - a - 500)), chr(10)) > 0 THEN hard - instr(reverse(substr(text, a + 501, hard - a - 500)), chr(10)) + 1 ELSE hard END AS b FROM w
-  UNION ALL
-  SELECT doc_id, text, k + 1, greatest(b - 150, a + 1), CASE WHEN least(greatest(b - 150, a + 1) + 1000, length(text)) < length(text) AND instr(reverse(substr(text, greatest(b - 150, a + 1) + 501, 500)), chr(10)) > 0
-    THEN greatest(b - 150, a + 1) + 1000 - instr(reverse(substr(text, greatest(b - 150, a + 1) + 501, 500)), chr(10)) + 1 ELSE least(greatest(b - 150, a + 1) + 1000, length(text)) END FROM v WHERE b < length(text))"""
+# The end of the window from ``a`` whose hard end is ``h``: after the last line end of its second half, if there is one
+_END = r"CASE WHEN {h} < length(text) AND contains(substr(text, {a} + 501, {h} - {a} - 500), chr(10)) THEN {h} - length(regexp_extract(substr(text, {a} + 501, {h} - {a} - 500), '[^\n]*$')) ELSE {h} END"
+_NEXT = "greatest(b - 150, a + 1)"
+_WINDOWS = f"""w AS (SELECT doc_id, text, 0::BIGINT AS k, 0::BIGINT AS a, least(1000, length(text))::BIGINT AS h FROM documents WHERE length(text) > 0),
+v AS (SELECT doc_id, text, k, a, {_END.format(a='a', h='h')} AS b FROM w
+  UNION ALL SELECT doc_id, text, k + 1, {_NEXT}, {_END.format(a=_NEXT, h=f'least({_NEXT} + 1000, length(text))')} FROM v WHERE b < length(text))"""
 
 
 @query(f"WITH RECURSIVE {_WINDOWS} SELECT doc_id, k, a AS char_start, b AS char_end, md5(substr(text, a + 1, b - a)) AS digest FROM v WHERE regexp_matches(substr(text, a + 1, b - a), '[!-~]')")
@@ -140,8 +145,6 @@ def heading_offsets(spark, d):
 @query(f"""WITH {_OFFSETS}, {_C} SELECT c.chunk_id, arg_max(off.sec_id, {{'o': off."offset", 's': off.sec_id}}) AS heading_sec FROM c JOIN off ON c.doc_id = off.doc_id AND off."offset" <= c.char_start GROUP BY c.chunk_id""")
 def heading_asof(spark, d):
     """The last heading at or before each chunk's start, by an as-of scan of both in order of place."""
-    from sparkloom.operators.asof import latest_before
-
     off = materialize(C.heading_offsets(table(spark, d, "sections")), "off")
     c = _chunks(spark, d).where("doc_id is not null and char_start is not null").select("chunk_id", "doc_id", F.col("char_start").cast("long").alias("at"))
     return latest_before(c, off.select("doc_id", F.col("offset").alias("at"), F.col("sec_id").alias("heading_sec")), "doc_id", "at", "chunk_id", "heading_sec").where("heading_sec is not null")
@@ -241,15 +244,41 @@ def local_targets(spark, d):
     return spelling.local_repair(_asked(spark, d), targets, v)
 
 
-@query(rf"""WITH q AS (SELECT DISTINCT ON (qid) qid, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS w FROM emacs_questions WHERE question IS NOT NULL),
-m AS (SELECT DISTINCT ON (doc_id) doc_id, list_distinct(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS w FROM man_docs WHERE summary IS NOT NULL)
-SELECT qid, doc_id, round(len(list_intersect(q.w, m.w)) / len(list_distinct(list_concat(q.w, m.w))), 6) AS jaccard FROM q JOIN m ON len(list_intersect(q.w, m.w)) * 10 >= 2 * len(list_distinct(list_concat(q.w, m.w))) WHERE len(q.w) > 0 AND len(m.w) > 0""")
+_SETS = r"""q AS (SELECT DISTINCT ON (qid) qid, variant_of IS NULL AND paraphrase_of IS NULL AS base, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS w FROM emacs_questions WHERE question IS NOT NULL),
+p AS (SELECT t.qid AS train, e.qid AS eval, len(list_intersect(t.w, e.w)) AS shared, len(list_distinct(list_concat(t.w, e.w))) AS either FROM q t JOIN q e ON NOT t.base AND e.base AND len(t.w) > 0 AND len(e.w) > 0 AND len(t.w) * 10 >= 8 * len(e.w) AND len(e.w) * 10 >= 8 * len(t.w))"""
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Variants (as training rows) and base questions (as evaluation rows) whose words have a similarity of 0.8 or more."""
+    q = table(spark, d, "emacs_questions").where("question is not null").select("qid", "question", (F.col("variant_of").isNull() & F.col("paraphrase_of").isNull()).alias("base")).dropDuplicates(["qid"])
+    q = q.select("qid", "base", S.token_set("question").alias("w"))
+    side = lambda c, n: q.where(c).select(F.col("qid").alias(n), "w")
+    return similar(side("not base", "train"), "train", side("base", "eval"), "eval", "w", Fraction(8, 10))
+
+
+@query(f"WITH {_SETS} SELECT train, eval, round(shared / either, 6) AS jaccard FROM p WHERE shared * 10 >= 8 * either")
 def leakage_jaccard(spark, d):
-    """Questions and page summaries whose words have a similarity of 0.2 or more."""
-    from fractions import Fraction
+    """Training and evaluation questions that are alike, with their similarity."""
+    return _leaks(spark, d).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"WITH {_SETS} SELECT qid FROM q WHERE NOT base AND qid NOT IN (SELECT train FROM p WHERE shared * 10 >= 8 * either)")
+def leak_filter(spark, d):
+    """Training questions that are like no evaluation question."""
+    q = table(spark, d, "emacs_questions").where("question is not null and (variant_of is not null or paraphrase_of is not null)").select("qid").distinct()
+    return q.join(_leaks(spark, d).select(F.col("train").alias("qid")).distinct(), "qid", "left_anti")
+
+
+@query("SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND doc_id NOT IN (SELECT doc FROM emacs_questions WHERE doc IS NOT NULL)")
+def decontam_antijoin(spark, d):
+    """Chunks of documents that no evaluation question is about."""
+    docs = table(spark, d, "emacs_questions").select(F.col("doc").alias("doc_id")).where("doc_id is not null").distinct()
+    return table(spark, d, "chunks").where("chunk_id is not null and doc_id is not null").select("chunk_id", "doc_id").join(docs, "doc_id", "left_anti").select("chunk_id").distinct()
 
-    from sparkloom.operators.setjoin import similar
 
-    q = table(spark, d, "emacs_questions").where("question is not null").select("qid", "question").dropDuplicates(["qid"]).select("qid", S.token_set("question").alias("w"))
-    m = table(spark, d, "man_docs").where("summary is not null").select("doc_id", "summary").dropDuplicates(["doc_id"]).select("doc_id", S.token_set("summary").alias("w"))
-    return similar(q, "qid", m, "doc_id", "w", Fraction(2, 10)).withColumn("jaccard", F.round("jaccard", 6))
+@query(r"""WITH p AS (SELECT doc_id, count(*) AS windows FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL) WHERE trim(x) <> '' AND regexp_matches(x, '^[ ]{0,7}-') GROUP BY doc_id)
+SELECT windows AS entries, count(*) AS docs FROM p GROUP BY windows""")
+def option_like_lines(spark, d):
+    """Documents by their number of lines that open like an option."""
+    x = table(spark, d, "documents").where("text is not null").select(F.size(F.filter(F.split("text", "\n"), lambda v: (F.trim(v) != "") & v.rlike("^[ ]{0,7}-"))).cast("long").alias("entries")).where("entries > 0")
+    return x.groupBy("entries").agg(F.count("*").alias("docs"))
