@@ -156,3 +156,31 @@ def exact_sign_p(gained: Column, lost: Column) -> Column:
 
     tail = F.aggregate(logs, start, step)["s"]
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def heading_path(sec_id: Column | str) -> Column:
+    """The headings that lead to a section, from its id."""
+    return F.replace(F.regexp_replace(_c(sec_id), r"^[^#]*#", ""), F.lit("/"), F.lit(" / "))
+
+
+def embed_input(prefix: Column, heading: Column, text: Column) -> Column:
+    """What is embedded for a chunk: its prefix, its heading if known, its text."""
+    line = F.when(F.coalesce(heading, F.lit("")) != "", F.concat(F.lit("Section: "), heading, F.lit("\n"))).otherwise("")
+    return F.concat(F.coalesce(prefix, F.lit("")), line, F.coalesce(text, F.lit("")))
+
+
+def fold_questions(text: Column, questions: Column) -> Column:
+    """A chunk's text with its questions below it."""
+    return F.concat_ws("\n", text, F.array_join(questions, "\n"))
+
+
+def parse_questions(c: Column | str, n: int) -> Column:
+    """The first ``n`` generated questions: lines without bullets and numbers, blank ones left out."""
+    bare = F.transform(F.split(_c(c), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
+    return F.slice(F.filter(bare, lambda x: x != ""), 1, n)
+
+
+def swap_once(text: Column, old: str, new: str) -> Column:
+    """``text`` with its one occurrence of ``old`` replaced; none or several are an error when computed."""
+    times = F.size(F.split(text, f"\\Q{old}\\E", -1)) - 1
+    return F.when(times == 1, F.replace(text, F.lit(old), F.lit(new))).otherwise(F.raise_error(F.lit("not one occurrence")))

@@ -123,3 +123,29 @@ def local_repair(questions: DataFrame, targets: DataFrame, vocab: DataFrame, key
     near = odd.join(targets, key).where(F.abs(F.length("core") - F.length("word")) <= most)
     near = near.withColumn("c", _compare("core", "word")).where(F.col("c.distance") <= most)
     return near.withColumn("k", F.row_number().over(W.partitionBy(key, "core").orderBy("c.distance", "c.far", F.desc("n"), "word"))).where("k = 1").select(key, "core", "word", F.col("c.distance").alias("distance"))
+
+
+def normalize(questions: DataFrame, mode: str, vocab: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(qid, repaired, n_edits) by mode: ``off``, ``spell`` (needs a vocabulary) or ``local`` (needs the words of each question's extracts as well)."""
+    if mode == "off":
+        return questions.where("question is not null").select("qid", F.col("question").alias("repaired"), F.lit(0).cast("long").alias("n_edits"))
+    if mode not in ("spell", "local") or vocab is None or (mode == "local") != (targets is not None):
+        raise ValueError("mode and arguments don't agree")
+    if mode == "spell":
+        return repair(questions, vocab)
+    fixes = local_repair(questions, targets, vocab).select("qid", F.col("core").alias("low"), "word")
+    j = tokens(questions).withColumn("low", F.lower("core")).join(fixes, ["qid", "low"], "left")
+    new = F.when(F.col("word").isNull(), F.col("token")).otherwise(F.concat("head", "word", "tail"))
+    got = j.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("place", new.alias("t")))).alias("xs"), F.count("word").alias("n_edits"))
+    return got.select("qid", F.array_join(F.transform("xs", lambda x: x["t"]), " ").alias("repaired"), "n_edits")
+
+
+def recovery(typos: DataFrame, repaired: DataFrame) -> DataFrame:
+    """(variant_kind, n, reverted, partial, new_wrong) of mistyped variants (qid, variant_kind, base, question): words put right, questions with some put right, and words spoilt."""
+    split = lambda c: F.split(c, " ")
+    j = typos.join(repaired.select("qid", "repaired"), "qid").where(F.size(split("base")) == F.size(split("question")))
+    words = F.zip_with(F.zip_with(split("base"), split("question"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), split("repaired"), lambda x, c: F.struct(x["a"].alias("a"), x["b"].alias("b"), c.alias("c")))
+    wrong, fixed, spoilt = (F.size(F.filter("ws", f)) for f in (lambda x: x["a"] != x["b"], lambda x: (x["a"] != x["b"]) & (x["a"] == x["c"]), lambda x: (x["a"] == x["b"]) & (x["a"] != x["c"])))
+    r = j.withColumn("ws", words).select("variant_kind", wrong.alias("w"), fixed.alias("f"), spoilt.alias("s"))
+    n = lambda c: F.count(F.when(c, 1))
+    return r.groupBy("variant_kind").agg(F.count("*").alias("n"), n((F.col("w") > 0) & (F.col("f") == F.col("w"))).alias("reverted"), n((F.col("f") > 0) & (F.col("f") < F.col("w"))).alias("partial"), F.sum("s").alias("new_wrong"))

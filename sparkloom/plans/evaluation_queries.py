@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scalars as S
 from sparkloom.functions.text import filled
 from sparkloom.operators import evaluate as E
+from sparkloom.operators import gold as G
+from sparkloom.operators import spelling as SP
+from sparkloom.operators.prefix import quantiles
 from sparkloom.plans.corpus_queries import _TRIM
 from sparkloom.plans.spec import Registry
 from sparkloom.runtime import materialize, table
@@ -234,3 +237,58 @@ def refusal_metrics(spark, d):
     """Precision and recall of refusals; null without any."""
     a, u = F.col("abstained"), ~F.col("answerable")
     return _runs(spark, d)[1].agg(F.count("*").alias("n"), E.n(a & ~u).alias("wrong_refusals"), F.round(F.try_divide(E.n(a & u), E.n(a)), 6).alias("precision"), F.round(F.try_divide(E.n(a & u), E.n(u)), 6).alias("recall"))
+
+
+_G = f"""g AS (SELECT qid, list_distinct(list_filter(list_transform(coalesce(gold_sec_ids, []), lambda s: nullif({_TRIM.format('s')}, '')), lambda s: s IS NOT NULL)) AS gold, list_filter(coalesce(answer_contains, []), lambda t: t IS NOT NULL) AS toks, question
+FROM (SELECT DISTINCT ON (qid) * FROM emacs_questions) WHERE kind = 'answerable'),
+s AS (SELECT sec_id, min(coalesce(heading, '') || chr(10) || coalesce(text, '')) AS body FROM sections GROUP BY sec_id)"""
+
+
+@query(f"""WITH {_G}, e AS (SELECT qid, toks, unnest(gold) AS sec_id FROM g)
+SELECT qid, e.sec_id, CASE WHEN body IS NULL THEN 'missing section' ELSE 'token not in section' END AS problem FROM e LEFT JOIN s USING (sec_id) WHERE body IS NULL OR len(list_filter(toks, lambda t: NOT contains(body, t))) > 0
+UNION ALL SELECT qid, NULL, 'many sections' FROM g WHERE len(gold) > 5 UNION ALL SELECT qid, NULL, 'token in question' FROM g WHERE len(list_filter(toks, lambda t: length(t) > 3 AND contains(coalesce(question, ''), t))) > 0""")
+def gold_violations(spark, d):
+    """Faults of the gold sections and answers."""
+    return G.gold_violations(table(spark, d, "emacs_questions"), table(spark, d, "sections"))
+
+
+@query()
+def alias_derive(spark, d):
+    """Aliases that the gold sections document, with those that variants take over."""
+    q = table(spark, d, "emacs_questions")
+    return G.propagate(materialize(G.derive_aliases(q, table(spark, d, "sections")), "aliases"), q)
+
+
+@query()
+def alias_check(spark, d):
+    """Faults of derived aliases."""
+    q = table(spark, d, "emacs_questions")
+    return G.alias_violations(materialize(G.derive_aliases(q, table(spark, d, "sections")), "aliases"), q)
+
+
+@query(f"""WITH a AS (SELECT DISTINCT ON (answer_id) answer_id, qid, coalesce(answer, '') AS answer FROM p9probe_ctx4b_answers), q AS (SELECT DISTINCT ON (qid) qid, list_filter(coalesce(answer_contains, []), lambda t: t IS NOT NULL) AS toks FROM emacs_questions)
+SELECT answer_id, len(list_filter(toks, lambda t: NOT contains(answer, t))) = 0 AS strict FROM a JOIN q USING (qid)""")
+def answer_correctness(spark, d):
+    """Answers that hold all tokens of their question."""
+    a = table(spark, d, "p9probe_ctx4b_answers").dropDuplicates(["answer_id"])
+    q = table(spark, d, "emacs_questions")
+    return G.correctness(a, q, spark.createDataFrame([], G.ALIASES)).select("answer_id", "strict")
+
+
+@query()
+def typo_recovery(spark, d):
+    """How many mistyped variants the vocabulary puts right, and what it spoils."""
+    q = table(spark, d, "emacs_questions").select("qid", "question", "variant_of", "variant_kind").dropDuplicates(["qid"])
+    base = q.select(F.col("qid").alias("_b"), F.col("question").alias("base"))
+    typos = q.where("variant_kind in ('typo1', 'typo3')").join(base, filled("variant_of") == F.col("_b")).select("qid", "variant_kind", "base", "question")
+    v = materialize(SP.vocabulary(table(spark, d, "chunks")), "vocabulary")
+    return SP.recovery(typos, SP.normalize(typos.select("qid", "question"), "spell", v))
+
+
+@query(f"""WITH {_RUNS}, s AS (SELECT list(score ORDER BY score) FILTER (answerable) AS l FROM c WHERE score IS NOT NULL), p AS (SELECT l[least(floor(len(l) * 0.1::DOUBLE)::BIGINT, len(l) - 1) + 1] AS p10 FROM s)
+SELECT round(p10, 9) AS p10, round((SELECT avg((score >= p10)::INT) FROM c WHERE NOT answerable AND score IS NOT NULL), 6) AS overlap FROM p""")
+def score_overlap(spark, d):
+    """Share of unanswerable questions whose score reaches the lowest tenth of the answerable ones'."""
+    c = materialize(_runs(spark, d)[0].where("score is not null").select("key", "answerable", "score"), "scores")
+    p10 = quantiles(c.where("answerable"), "score", "key", [0.1]).where("convention = 'floor'").select(F.col("value").alias("p10"))
+    return c.where("not answerable").join(F.broadcast(p10)).agg(F.round(F.max("p10"), 9).alias("p10"), F.round(F.avg((F.col("score") >= F.col("p10")).cast("int")), 6).alias("overlap"))
