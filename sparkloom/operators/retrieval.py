@@ -18,8 +18,9 @@ CANDIDATES = 50
 KEEP = 5
 VOTE = 5
 
-#: Rows of the corpus and queries that one task compares at a time.
+#: Rows of the corpus and queries that one task compares at a time, at most; and bytes of the corpus as a matrix.
 CORPUS_CELL, QUERY_CELL = 50_000, 2_000
+CELL_BYTES = 32 << 20
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -28,6 +29,15 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int | None =
     return out.where(F.col(name) <= k) if k else out
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix of doubles."""
+    flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks]).astype(np.float64)
+    n = len(column)
+    if len(flat) % n or any((np.diff(x.offsets.to_numpy()) != len(flat) // n).any() for x in column.chunks):
+        raise ValueError("vectors differ in length")
+    return flat.reshape(n, -1)
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str, by: str | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, key, distance, score[, by]): the k nearest rows of each query, by Euclidean distance.
 
@@ -36,7 +46,9 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str
     for each query and group. Rows with a null vector take no part; vectors of another length than the
     first of the cell are an error.
     """
-    nc, nq = max(1, -(-corpus.count() // CORPUS_CELL)), max(1, -(-queries.count() // QUERY_CELL))
+    n, size = corpus.agg(F.count("*"), F.max(F.size(vector))).first()
+    rows = min(CORPUS_CELL, max(256, CELL_BYTES // (8 * max(size or 1, 1))))
+    nc, nq = max(1, -(-n // rows)), max(1, -(-queries.count() // QUERY_CELL))
     kind = dict(corpus.dtypes)
     cols = [F.col(key).alias("id"), F.col(vector).alias("vec"), (F.col(by).cast("string") if by else F.lit(None).cast("string")).alias("grp")]
     left = corpus.select(*cols).where("vec is not null").withColumn("i", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -48,25 +60,25 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str
         names = ["query_id", "id", "distance", "grp"]
         if not c.num_rows or not q.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
-        a, b = (np.array(t["vec"].to_pylist(), np.float64) for t in (c, q))
+        a, b = matrix(c["vec"]), matrix(q["vec"])
         ids, groups = np.array(c["id"].to_pylist()), np.array([x or "" for x in c["grp"].to_pylist()])
         qids = np.array(q["id"].to_pylist())
-        out: list[tuple[np.ndarray, ...]] = []
+        members = [np.flatnonzero(groups == g) for g in np.unique(groups)] if by else [np.arange(len(ids))]
+        norms, out = (a**2).sum(1), []
         for x in range(0, len(b), 256):
             part = b[x : x + 256]
-            d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (a**2).sum(1)[None, :] - 2 * part @ a.T, 0))
+            d2 = (part**2).sum(1)[:, None] + norms[None, :] - 2 * part @ a.T
             for y in range(len(part)):
-                order = np.lexsort((ids, d[y]))
-                if exclude_self:
-                    order = order[ids[order] != qids[x + y]]
-                if by:
-                    g = groups[order]
-                    order = np.concatenate([order[g == name][:k] for name in np.unique(g)]) if len(order) else order
-                else:
-                    order = order[:k]
-                # distances of the kept rows without cancellation
-                exact = np.sqrt(((a[order] - part[y]) ** 2).sum(1))
-                out.append((np.repeat(qids[x + y], len(order)), ids[order], exact, groups[order]))
+                for m in members:
+                    row = d2[y, m]
+                    # one more than k for the query itself; the slack covers rounding of the product
+                    most = np.partition(row, k)[k] + 1e-6 if len(row) > k + 1 else np.inf
+                    near = m[row <= most]
+                    if exclude_self:
+                        near = near[ids[near] != qids[x + y]]
+                    exact = np.sqrt(((a[near] - part[y]) ** 2).sum(1))
+                    order = np.lexsort((ids[near], exact))[:k]
+                    out.append((np.repeat(qids[x + y], len(order)), ids[near][order], exact[order], groups[near][order]))
         cols = [np.concatenate(z) for z in zip(*out)]
         return pa.table({n: pa.array(v, t) for n, v, t in zip(names, cols, types)})
 
@@ -196,3 +208,27 @@ def prompt(hits: DataFrame, query: str, doc: str = "doc_id") -> DataFrame:
     got = hits.select(query, F.struct("rank", block.alias("b")).alias("x")).groupBy(query).agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return got.select(query, F.array_join(F.transform("xs", lambda x: x["b"]), "\n\n").alias("prompt"))
 
+
+
+def nearest_by_questions(index: DataFrame, queries: DataFrame, k: int, key: str = "question_id") -> DataFrame:
+    """(query_id, rank, chunk_id, question, distance): chunks by their generated questions.
+
+    index: (question_id, chunk_id, question, embedding); the k nearest questions count, and each chunk keeps its best.
+    """
+    hits = nearest(index.select(key, "embedding"), queries, k, key, "embedding").join(index.select(key, "chunk_id", "question"), key)
+    best = ranked(hits.drop("rank"), ["query_id", "chunk_id"], [F.col("distance"), F.col(key)], 1, "_k").drop("_k")
+    return ranked(best, ["query_id"], [F.col("distance"), F.col("chunk_id")]).select("query_id", "rank", "chunk_id", "question", "distance")
+
+
+def with_question_route(pool: DataFrame, by_questions: DataFrame) -> DataFrame:
+    """A pool (query_id, chunk_id, rank) and, behind it, the chunks that only their questions found, with the route of each."""
+    a = pool.select("query_id", "chunk_id", "rank", F.lit(0).alias("list_no"))
+    b = by_questions.select("query_id", "chunk_id", "rank", F.lit(1).alias("list_no"))
+    return pooled(a.unionByName(b), "query_id", "chunk_id").select("query_id", "chunk_id", "place", F.when(F.col("list_no") == 1, "question").otherwise("chunk").alias("route"))
+
+
+def fused_variants(lists: DataFrame, k: int = KEEP, first: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(hits, winners) of rewritten questions: lists (query_id, list_no, rank, chunk_id), number 0 the original's; each is cut to ``first``, they are fused, and the fused list is cut to ``k``."""
+    cut = lists.where(F.col("rank") <= first)
+    fused = fuse(cut, "query_id", "chunk_id")
+    return fused.where(F.col("rank") <= k), winner(cut, fused, "query_id", "chunk_id")

@@ -149,3 +149,9 @@ def recovery(typos: DataFrame, repaired: DataFrame) -> DataFrame:
     r = j.withColumn("ws", words).select("variant_kind", wrong.alias("w"), fixed.alias("f"), spoilt.alias("s"))
     n = lambda c: F.count(F.when(c, 1))
     return r.groupBy("variant_kind").agg(F.count("*").alias("n"), n((F.col("w") > 0) & (F.col("f") == F.col("w"))).alias("reverted"), n((F.col("f") > 0) & (F.col("f") < F.col("w"))).alias("partial"), F.sum("s").alias("new_wrong"))
+
+
+def report(questions: DataFrame, repaired: DataFrame) -> DataFrame:
+    """(kind, n, changed, edits) of repaired questions by kind."""
+    j = questions.select("qid", "kind").dropDuplicates(["qid"]).join(repaired, "qid")
+    return j.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.col("n_edits") > 0, 1)).alias("changed"), F.sum("n_edits").alias("edits"))

@@ -125,3 +125,10 @@ def unique_names(df: DataFrame, by: str, name: str, order: str) -> DataFrame:
     """``df`` with a number after every repeated name within ``by``."""
     k = F.row_number().over(W.partitionBy(by, name).orderBy(order))
     return df.withColumn("unique_name", F.when(k > 1, F.concat(F.col(name), F.lit(" ("), k.cast("string"), F.lit(")"))).otherwise(F.col(name)))
+
+
+def find_section(entries: DataFrame, sections: DataFrame, node: str = "node") -> DataFrame:
+    """``entries`` with the sec_id whose heading has the node's name, case and blanks aside; of several the smallest id."""
+    squeezed = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    s = sections.where("heading is not null").groupBy(squeezed("heading").alias("_name")).agg(F.min("sec_id").alias("sec_id"))
+    return entries.withColumn("_name", squeezed(node)).join(s, "_name", "left").drop("_name")
