@@ -35,6 +35,7 @@ _sets = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 _index = {k: {w: i for i, w in enumerate(dict.fromkeys(v))} for k, v in FUNCTION_WORDS.items()}
 _all = frozenset().union(*_sets.values())
 _WIDTH = max(map(len, _index.values()))
+_languages_of = {w: tuple(k for k in LANGUAGES if w in _sets[k]) for w in _all}
 
 #: Classes of characters: lower-case, upper-case and other letters, digits, blanks, line ends, sentence marks, quotes, brackets, path and option marks, other symbols, undecodable or control characters.
 CLASSES = 12
@@ -71,26 +72,30 @@ def char_classes(text: str) -> np.ndarray:
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon divergence in bits, 0 to 1; 1 if either side is empty."""
-    if not p.sum() or not q.sum():
+    np_, nq = p.sum(), q.sum()
+    if not np_ or not nq:
         return 1.0
-    p, q = p / p.sum(), q / q.sum()
+    p, q = p / np_, q / nq
     m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return float(max(0.0, (np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()) / 2))
+    a, b = p > 0, q > 0
+    return float(max(0.0, (p[a] * np.log2(p[a] / m[a])).sum() + (q[b] * np.log2(q[b] / m[b])).sum()) / 2)
 
 
 def function_counts(ws: list[str]) -> tuple[str | None, np.ndarray, int]:
     """(language with most function words, counts of its function words, number of function words)."""
-    c = Counter(w for w in ws if w in _all)
+    c = Counter(filter(_all.__contains__, ws))
     if not c:
         return None, np.zeros(_WIDTH), 0
-    best = max(LANGUAGES, key=lambda x: sum(n for w, n in c.items() if w in _sets[x]))
-    v = np.zeros(_WIDTH)
+    per = dict.fromkeys(LANGUAGES, 0)
     for w, n in c.items():
-        i = _index[best].get(w)
-        if i is not None:
-            v[i] += n
-    return best, v, int(v.sum())
+        for x in _languages_of[w]:
+            per[x] += n
+    best = max(LANGUAGES, key=per.__getitem__)
+    v, at = np.zeros(_WIDTH), _index[best]
+    for w, n in c.items():
+        if w in at:
+            v[at[w]] += n
+    return best, v, per[best]
 
 
 _line_end = re.compile(r"\r\n|\r|\n|\x85| | |\x0b|\x0c")
@@ -114,19 +119,26 @@ def rows_of(lines: list[str]) -> tuple[list[bool], str | None]:
         if n >= 2:
             found.append((n, name, is_row))
 
-    add("pipes", [x.count("|") >= 2 and x.count("||") <= x.count("|") // 3 or bool(_rule.fullmatch(x)) for x in lines])
-    if any("<t" in x or "<T" in x for x in lines):
+    # what the whole text lacks, no line has
+    text = "\n".join(lines)
+    if "|" in text:
+        add("pipes", [x.count("|") >= 2 and x.count("||") <= x.count("|") // 3 or bool(_rule.fullmatch(x)) for x in lines])
+    if "<t" in text or "<T" in text:
         add("cells", [len(_cell.findall(x)) >= 2 and len(_tag.sub("", x).strip()) >= 2 for x in lines])
     for d in ("\t", ";", ",", "&", " :: ", " / ", "^", "~", "!"):
+        tight = d in ",;!"
+        # rows need two marks each, or one tab; marks of sentences have a blank or a line end behind them
+        whole = text.count(d) - (text.count(d + " ") if tight else 0)
+        if whole < (2 if d == "\t" else 3):
+            continue
         each = [x.count(d) for x in lines]
         counts = Counter(n for n in each if n)
-        if not counts:
-            continue
         n, rows = counts.most_common(1)[0]
-        # two cells a row are a table only in a notation made for it; marks of sentences have a blank behind them
-        if (n >= 2 or d == "\t") and (d not in ",;!" or sum(x.count(d + " ") for x in lines) < 0.3 * n * rows):
+        # two cells a row are a table only in a notation made for it
+        if (n >= 2 or d == "\t") and (not tight or sum(x.count(d + " ") for x in lines) < 0.3 * n * rows):
             add(d, [k == n for k in each])
-    add("columns", [len(_gap.findall(x)) >= 2 for x in lines])
+    if "  " in text or "\t" in text:
+        add("columns", [len(_gap.findall(x)) >= 2 for x in lines])
     best = max(found, key=lambda f: f[0], default=(0, None, [False] * len(lines)))
     return best[2], best[1]
 
@@ -169,10 +181,14 @@ def shares(d: dict) -> tuple[float, float, float, float]:
     hits, sizes, tokens = [], [], []
     for x in lines:
         ws = _bare.findall(x.lower())
-        hits.append(sum(w in own for w in ws))
+        hits.append(sum(map(own.__contains__, ws)))
         sizes.append(len(ws))
         tokens.append(len(x.split()))
-    title = [tokens[i] <= 8 and (x.isupper() or not x.rstrip().endswith((".", "!", "?")) and tokens[i] <= 6 and all(not w[:1].islower() for w in x.split())) for i, x in enumerate(lines)]
+    title = []
+    for x, k in zip(lines, tokens):
+        # up to eight words in capitals, or six that each start with anything but a small letter
+        short = k <= 8 and (x.isupper() or k <= 6 and not x.rstrip().endswith((".", "!", "?")) and not any(w[0].islower() for w in x.split()))
+        title.append(short)
     weight = [len(x.strip()) for x in lines]
     free = [i for i in range(n) if not row[i] and not entry[i]]
     # steps without numbers: short lines, none of them a sentence
