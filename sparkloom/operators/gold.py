@@ -5,6 +5,7 @@ Aliases are rows (qid, token, alias, rule, sec_id).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,9 +78,8 @@ def primary_section(evidence: DataFrame, words: tuple[str, ...] = ("option", "sy
     return evidence.groupBy("qid").agg(F.min_by("sec_id", F.struct(place.alias("k"), F.length("heading").alias("n"), "sec_id")).alias("sec_id"))
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("alias", T.StringType()), T.StructField("rule", T.StringType())])))
-def _documented(text):
-    """(token, alias, rule) that a section documents: other spellings of an option, an option with its argument, the key of a command."""
+def documented(text: str | None) -> list[dict]:
+    """Aliases that a section documents: other spellings of an option, an option with its argument, the key of a command."""
     out = []
     for line, _ in option_entries(text or ""):
         units = option_units(line)
@@ -89,7 +89,12 @@ def _documented(text):
                 out.append((flag, f"{flag}={arg}" if flag.startswith("--") else f"{flag} {arg}", "argument"))
     for key, command in definition_groups(text or ""):
         out += [(command, key, "keybinding"), (key, command, "keybinding")]
-    return out
+    return [dict(zip(("token", "alias", "rule"), x)) for x in out]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("alias", T.StringType()), T.StructField("rule", T.StringType())])))
+def _documented(text: pd.Series) -> pd.Series:
+    return text.map(documented)
 
 
 def derive_aliases(questions: DataFrame, sections: DataFrame) -> DataFrame:

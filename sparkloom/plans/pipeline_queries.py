@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.functions import models as M
 from sparkloom.operators import retrieval as R
@@ -188,9 +187,8 @@ def page_files(spark, d):
 @query()
 def option_lines(spark, d):
     """Options that sections describe at the margin of their entries, by flag."""
-    f = F.udf(lambda t: [x for line, _ in manuals.option_entries(t or "") for x, _ in manuals.option_units(line)], T.ArrayType(T.StringType()))
     s = table(spark, d, "sections").where("text is not null").select("sec_id", "text").dropDuplicates(["sec_id"])
-    return s.select("sec_id", F.explode(f("text")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    return s.select("sec_id", F.explode(manuals.flags("text")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
 # Substrate: relational operators on the star schema

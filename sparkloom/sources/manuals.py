@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HEADER = r"(?m)^File: [^\n]*?Node: ([^,\n\t]+)"
 
@@ -33,6 +35,11 @@ def strip_menu(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
+@F.pandas_udf(T.StringType())
+def _without_menus(body: pd.Series) -> pd.Series:
+    return body.map(lambda t: None if t is None else strip_menu(t))
+
+
 def neutral_headings(c: Column) -> Column:
     """Lines that look like Markdown headings are indented by one blank."""
     return F.regexp_replace(c, r"(?m)^(#{1,6}\s)", " $1")
@@ -43,11 +50,10 @@ def convert(manuals: DataFrame, key: str, text: str) -> DataFrame:
 
     One row a manual; a manual is one text.
     """
-    cut = F.udf(strip_menu, "string")
     n = nodes(manuals, key, text).where(~F.col("node").endswith("Index"))
     again = F.row_number().over(W.partitionBy(key, "node").orderBy("node_no"))
     name = F.when(again > 1, F.concat("node", F.lit(" ("), again.cast("string"), F.lit(")"))).otherwise(F.col("node"))
-    part = F.concat(F.lit("# "), name, F.lit("\n\n"), neutral_headings(cut("body")))
+    part = F.concat(F.lit("# "), name, F.lit("\n\n"), neutral_headings(_without_menus("body")))
     got = n.select(key, "node_no", part.alias("_p")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node_no", "_p"))).alias("_ps"))
     return got.select(key, F.array_join(F.transform("_ps", lambda x: x["_p"]), "\n\n").alias("markdown"))
 
@@ -93,6 +99,12 @@ def option_entries(text: str, indent: int = 7) -> list[tuple[str, str]]:
     return [(a, " ".join(x for x in b if x)) for a, b in out]
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def flags(text: pd.Series) -> pd.Series:
+    """The options that a text documents, in order."""
+    return text.map(lambda t: [x for line, _ in option_entries(t or "") for x, _ in option_units(line)])
+
+
 def definition_groups(text: str) -> list[tuple[str, str]]:
     """(key, first command): quoted headers that follow each other, and the first ``(command)`` of the indented block below."""
     out, heads = [], []
