@@ -29,7 +29,7 @@ _AS = "a AS (SELECT DISTINCT ON (answer_id) * FROM p9probe_ctx4b_answers)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in S.STOP) + "]"
 _ABST = S.ABSTAIN.replace("'", "''")
 _CITES = r"list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\[([1-9])\]', 1), lambda x: x::INT))"
-#: The extract that a retrieved document stands for is its first chunk.
+#: Here a document's first chunk stands for it; the queries look into all its chunks.
 _HITS = """first AS (SELECT doc_id, arg_min(coalesce(prefix, ''), rowid) AS prefix, arg_min(coalesce(text, ''), rowid) AS text FROM chunks GROUP BY doc_id),
 hits AS (SELECT answer_id, n, doc_id, f.prefix || f.text AS body, f.text FROM (SELECT answer_id, unnest(retrieved_docs) AS doc_id, generate_subscripts(retrieved_docs, 1) AS n FROM a) h JOIN first f USING (doc_id))"""
 
@@ -57,8 +57,8 @@ s AS (SELECT c.answer_id, bool_or(len(list_filter(toks, lambda t: t IS NOT NULL
 SELECT answer_id, array_to_string(list_sort(cites), ',') AS cites, len(cites) AS n_citations, len(cites) = 0 AS uncited, len(list_filter(cites, lambda x: x > n)) AS out_of_range, coalesce(ok, false) AS cite_supported
 FROM c LEFT JOIN s USING (answer_id)""")
 def citations_verify(spark, d):
-    """Citations of each answer: number, out of range, and whether a cited extract holds all tokens of the question."""
-    return A.verify_citations(_a(spark, d), _q(spark, d), A.first_extracts(_a(spark, d), table(spark, d, "chunks")))
+    """Citations of each answer: number, out of range, and whether an extract of a cited document holds all tokens of the question."""
+    return A.verify_citations(_a(spark, d), _q(spark, d), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")))
 
 
 @query(rf"""WITH {_AS}, {_HITS}, p AS (SELECT answer_id, unnest(regexp_extract_all(coalesce(answer, ''), '[“"]([^”"\n]+)[”"][^\[\]\n]*\[([1-9])\]', 1)) AS quote, unnest(regexp_extract_all(coalesce(answer, ''), '[“"]([^”"\n]+)[”"][^\[\]\n]*\[([1-9])\]', 2))::INT AS n FROM a),
@@ -66,17 +66,17 @@ v AS (SELECT p.answer_id, count(*) AS n_quotes, bool_and(coalesce(contains(trim(
       FROM p LEFT JOIN hits h ON h.answer_id = p.answer_id AND h.n = p.n GROUP BY 1)
 SELECT answer_id, coalesce(n_quotes, 0) AS n_quotes, coalesce(ok, false) AS verified FROM a LEFT JOIN v USING (answer_id)""")
 def quote_verify(spark, d):
-    """Whether every quotation of an answer stands in the extract it cites."""
-    return A.verify_quotes(_a(spark, d), A.first_extracts(_a(spark, d), table(spark, d, "chunks")))
+    """Whether every quotation of an answer stands in the document it cites."""
+    return A.verify_quotes(_a(spark, d), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")))
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    return A.score_claims(A.claims(_a(spark, d)), A.first_extracts(_a(spark, d), table(spark, d, "chunks")), _a(spark, d))
+    return A.score_claims(A.claims(_a(spark, d)), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")), _a(spark, d))
 
 
 @query()
 def lexical_support(spark, d):
-    """Each claim's best support by the extracts it cites: the share of its literals found there."""
+    """Each claim's best support by the documents it cites: the share of its literals found there."""
     return _claims(spark, d).select("answer_id", "claim", F.round("score", 6).alias("score"))
 
 
@@ -88,14 +88,14 @@ def answer_min_max(spark, d):
 
 @query()
 def evidence_line(spark, d):
-    """For each citation the first line of its extract that names an identifier of the answer, and where to read on."""
-    return A.evidence_lines(_a(spark, d), A.first_extracts(_a(spark, d), table(spark, d, "chunks")))
+    """For each citation the first line of its document that names an identifier of the answer, and where to read on."""
+    return A.evidence_lines(_a(spark, d), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")))
 
 
 @query()
 def grounding_report(spark, d):
     """Answers that name options, keys or commands which no retrieved extract holds, by kind."""
-    return A.grounding(_a(spark, d), A.first_extracts(_a(spark, d), table(spark, d, "chunks")))
+    return A.grounding(_a(spark, d), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")))
 
 
 @query(rf"""WITH {_AS}, r AS (SELECT qid, arg_min(answer, answer_id) AS x, arg_max(answer, answer_id) AS y, count(*) AS n FROM a WHERE answer IS NOT NULL GROUP BY qid),
