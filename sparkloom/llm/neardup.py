@@ -29,8 +29,10 @@ _SLICES = 64
 FP_WORDS = 2
 #: An anchor held by more records (its bin's count beyond the usual noise of two median bins) is split into a grid of cells of at most so many.
 CELL = 8192
-#: Copies: a class of at most so many members is given as all its pairs, a larger one as pairs with its first member.
+#: Copies: records of exactly equal raw content, if more than so many, are given as pairs with the first of them, which stands for all in pairs with other contents.
 COPIES = 64
+#: Members of a block of a class: pairs of members are made by pairs of blocks.
+BLOCK = 256
 
 ENTRY = np.dtype([("bucket", "<u4"), ("side", "u1"), ("size", "<u4"), ("id", "<u8"), ("fp", "<u8", (FP_WORDS,))])
 
@@ -167,7 +169,8 @@ def _pairs_of_part(entries: np.ndarray, t: Fraction) -> np.ndarray:
 
 def similar_sets(df: DataFrame, key: str, column: str, make: Callable[[], Features], t: Fraction) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): candidate pairs (a, b) of set classes, a superset of the pairs of similarity t
-    or more between different sets, and members (cls, key), one row for each record with enough features.
+    or more between different sets, and members (cls, key, txt), one row for each record with enough
+    features; txt is a hash of the raw content (of the key, where it has several contents in a class).
 
     A class is a set of features; all its records are replicated as one. Buckets of common anchors are
     split into cells, so that no task compares more than two groups of records at a time.
@@ -189,10 +192,10 @@ def similar_sets(df: DataFrame, key: str, column: str, make: Callable[[], Featur
             n = len(size)
             ids, fps = _set_ids(h, rec, n), _fingerprints(h, rec, n)
             has = np.flatnonzero(size)
-            keys = tab[key].to_pylist()
+            keys, txt = tab[key].to_pylist(), tab["txt"].to_numpy()
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array(ids[has] % np.uint64(n_parts), pa.int32()), "blob": pa.nulls(len(has), pa.binary()),
-                "cls": pa.array(ids[has].view(np.int64), pa.int64()), "key": pa.array([keys[i] for i in has], pa.string()),
+                "cls": pa.array(ids[has].view(np.int64), pa.int64()), "key": pa.array([keys[i] for i in has], pa.string()), "txt": pa.array(txt[has], pa.int64()),
             })
             if len(sent) > 2_000_000:
                 sent.clear()
@@ -226,7 +229,7 @@ def similar_sets(df: DataFrame, key: str, column: str, make: Callable[[], Featur
             blobs = [x.tobytes() for x in np.split(entries, cut[1:])] if len(cut) else []
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array(part[cut], pa.int32()), "blob": pa.array(blobs, pa.binary()),
-                "cls": pa.nulls(len(cut), pa.int64()), "key": pa.nulls(len(cut), pa.string()),
+                "cls": pa.nulls(len(cut), pa.int64()), "key": pa.nulls(len(cut), pa.string()), "txt": pa.nulls(len(cut), pa.int64()),
             })
 
     def compare(group: pa.Table) -> pa.Table:
@@ -237,22 +240,20 @@ def similar_sets(df: DataFrame, key: str, column: str, make: Callable[[], Featur
             "a": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), kept["cls"].combine_chunks().cast(pa.int64()) if len(kept) else pa.array([], pa.int64())]),
             "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(kept), pa.int64())]),
             "key": pa.concat_arrays([pa.nulls(len(pairs), pa.string()), pa.array(kept["key"].to_pylist(), pa.string())]),
+            "txt": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(kept["txt"].to_numpy(), pa.int64())]),
         })
 
-    sent = df.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("string").alias(key), column)
-    got = sent.mapInArrow(route, "part int, blob binary, cls long, key string").groupBy("part").applyInArrow(compare, "a long, b long, key string")
+    raw = F.xxhash64(F.col(column) if dict(df.dtypes)[column] == "string" else F.to_json(column))
+    sent = df.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("string").alias(key), column, raw.alias("txt"))
+    got = sent.mapInArrow(route, "part int, blob binary, cls long, key string, txt long").groupBy("part").applyInArrow(compare, "a long, b long, key string, txt long")
     got = materialize(got, "similar")
-    return got.where("b is not null").select("a", "b").distinct(), got.where("b is null").select(F.col("a").alias("cls"), "key").distinct()
+    one = F.when(F.min("txt") == F.max("txt"), F.min("txt")).otherwise(F.xxhash64("key"))
+    return got.where("b is not null").select("a", "b").distinct(), got.where("b is null").groupBy(F.col("a").alias("cls"), "key").agg(one.alias("txt"))
 
 
-def similar_pairs(df: DataFrame, key: str, column: str, make: Callable[[], Features], t: Fraction) -> DataFrame:
-    """(key_a, key_b), key_a < key_b by code points: all pairs of records of Jaccard similarity t or more.
-
-    Candidates of the anchors are checked on the records themselves. Records of one class (equal sets)
-    are pairs as well: all of them in classes of up to 64 members, and else each with the class's first
-    key, as are the links of such a class. Null keys and null or short records have no pair. Repeats of
-    a record under one key count once; an empty table gives an empty result.
-    """
+def similar_classes(df: DataFrame, key: str, column: str, make: Callable[[], Features], t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, members, classes): the pairs (a, b) of classes of similarity t or more, checked on the
+    records themselves, the members (cls, key, txt) and the classes (cls, first, n)."""
     pairs, members = similar_sets(df, key, column, make, t)
     pairs = materialize(pairs, "candidates")
     classes = members.groupBy("cls").agg(F.min("key").alias("first"), F.count("*").alias("n"))
@@ -276,24 +277,87 @@ def similar_pairs(df: DataFrame, key: str, column: str, make: Callable[[], Featu
 
     both = pairs.join(text.select(F.col("cls").alias("a"), F.col("x").alias("xa")), "a").join(text.select(F.col("cls").alias("b"), F.col("x").alias("xb")), "b")
     links = both.select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
-    # members that stand for their class: all of a small one, the first of a large one
-    stand = members.join(classes, "cls").where((F.col("n") <= COPIES) | (F.col("key") == F.col("first"))).select("cls", "key")
-    sa, sb = stand.select(F.col("cls").alias("a"), F.col("key").alias("ka")), stand.select(F.col("cls").alias("b"), F.col("key").alias("kb"))
-    across = links.join(sa, "a").join(sb, "b").select("ka", "kb")
-    copies = members.join(classes.where("n > 1"), "cls")
-    few = copies.where(F.col("n") <= COPIES).select("cls", "key")
-    within = few.select("cls", F.col("key").alias("ka")).join(few.select("cls", F.col("key").alias("kb")), "cls").where("ka < kb").select("ka", "kb")
-    many = copies.where((F.col("n") > COPIES) & (F.col("key") != F.col("first"))).select(F.col("first").alias("ka"), F.col("key").alias("kb"))
-    out = across.union(within).union(many)
+    return links, members, classes
+
+
+def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, key, block, blocks): members in blocks of some BLOCK."""
+    n = F.ceil(F.col("n") / BLOCK).cast("int")
+    return members.join(classes.select("cls", n.alias("blocks")), "cls").select("cls", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "blocks")
+
+
+def similar_pairs(df: DataFrame, key: str, column: str, make: Callable[[], Features], t: Fraction) -> DataFrame:
+    """(key_a, key_b), key_a < key_b by code points: all pairs of records of Jaccard similarity t or more.
+
+    Records of one class (equal sets) are pairs as well. More than 64 records of exactly equal content
+    are given as pairs with the first of them, which stands for all in pairs with records of other
+    content; of different contents all pairs come out, however large their class. Null keys and null or
+    short records have no pair. Repeats of a record under one key count once; an empty table gives an
+    empty result.
+    """
+    links, members, classes = similar_classes(df, key, column, make, t)
+    # texts of many copies occur in large classes only
+    large = members.join(classes.where(F.col("n") > COPIES).select("cls"), "cls")
+    copies = large.groupBy("cls", "txt").agg(F.min("key").alias("first"), F.count("*").alias("c")).where(F.col("c") > COPIES)
+    many = materialize(large.join(copies, ["cls", "txt"]).where("key <> first").select("cls", "first", "key"), "copies")
+    stand = members.select("cls", "key").join(many.select("cls", "key"), ["cls", "key"], "left_anti")
+    size = stand.groupBy("cls").agg(F.count("*").alias("n"))
+    stand = materialize(_blocks(stand, size), "standing")
+    blocks = stand.groupBy("cls").agg(F.max("blocks").alias("blocks"))
+    # across classes: each link goes to all pairs of blocks
+    sizes = [blocks.select(F.col("cls").alias(x), F.col("blocks").alias("n" + x)) for x in "ab"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    grid = links.join(sizes[0], "a").join(sizes[1], "b").select("a", "b", every("na").alias("ba"), "nb").select("a", "b", "ba", every("nb").alias("bb"))
+    sa, sb = (stand.select(F.col("cls").alias(x), F.col("block").alias("b" + x), F.col("key").alias("k" + x)) for x in "ab")
+    across = grid.join(sa, ["a", "ba"]).join(sb, ["b", "bb"]).select("ka", "kb")
+    # within a class: each member goes to all pairs of blocks that hold its own
+    cell = stand.join(size.where("n > 1").select("cls"), "cls").select("cls", "key", "block", every("blocks").alias("other"))
+    cell = cell.select("cls", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    sa, sb = (cell.select("cls", "lo", "hi", F.col("block").alias("b" + x), F.col("key").alias("k" + x)) for x in "ab")
+    within = sa.join(sb, ["cls", "lo", "hi"]).where("ka < kb and (lo = hi or ba <> bb)").select("ka", "kb")
+    out = across.union(within).union(many.select("first", "key"))
     return out.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).where("key_a <> key_b").distinct()
 
 
-def near_duplicate_chunks(chunks: DataFrame, shingle: int = 3, least_words: int = 20, t: Fraction = Fraction(7, 10)) -> DataFrame:
-    return similar_pairs(chunks, "chunk_id", "text", lambda: Features(shingle, least_words), t)
+def class_groups(links: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, group, links) as :func:`groups` gives for all pairs, copies too, from classes and their links: no pair of records is made."""
+    links, members = materialize(links, "links"), materialize(members.select("cls", "key"), "members")
+    firsts = classes.select("cls", "first")
+    stars = members.join(firsts, "cls").where("key <> first").select("first", "key")
+    ends = links.join(firsts.select(F.col("cls").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("cls").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    found = connected_components(stars.union(ends), "first", "key")
+    # a unit is a class, for keys of one class, or a key of several: it sees each class once
+    several = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    lone = members.join(several, "key", "left_anti")
+    both = members.join(several, "key")
+    near = links.select(F.col("a").alias("cls"), F.col("b").alias("to")).union(links.select(F.col("b").alias("cls"), F.col("a").alias("to"))).union(classes.select("cls", F.col("cls").alias("to")))
+    near = materialize(near.distinct(), "near_classes")
+    one = lone.groupBy("cls").agg(F.count("*").alias("n"))
+
+    def partners(seen: DataFrame, unit: str) -> DataFrame:
+        alone = seen.join(one.withColumnRenamed("cls", "to"), "to").select(unit, "n")
+        shared = seen.join(both.select(F.col("cls").alias("to"), F.col("key").alias("other")), "to").select(unit, "other").distinct().select(unit, F.lit(1).cast("long").alias("n"))
+        return alone.union(shared).groupBy(unit).agg((F.sum("n") - 1).alias("links"))
+
+    of_key = partners(both.join(near, "cls").select("key", "to").distinct(), "key")
+    n = lone.join(partners(near, "cls"), "cls").select("key", "links").union(of_key.select("key", "links"))
+    return found.join(n.withColumnRenamed("key", "node"), "node").select(F.col("node").alias("key"), F.col("component").alias("group"), "links")
+
+
+def chunk_args(chunks: DataFrame, shingle: int = 3, least_words: int = 20, t: Fraction = Fraction(7, 10)) -> tuple:
+    return chunks, "chunk_id", "text", lambda: Features(shingle, least_words), t
+
+
+def alias_args(man_docs: DataFrame, least: int = 4, t: Fraction = Fraction(6, 10)) -> tuple:
+    return man_docs, "doc_id", "aliases", lambda: Features(None, least), t
+
+
+def near_duplicate_chunks(chunks: DataFrame, **how) -> DataFrame:
+    return similar_pairs(*chunk_args(chunks, **how))
 
 
-def near_duplicate_aliases(man_docs: DataFrame, least: int = 4, t: Fraction = Fraction(6, 10)) -> DataFrame:
-    return similar_pairs(man_docs, "doc_id", "aliases", lambda: Features(None, least), t)
+def near_duplicate_aliases(man_docs: DataFrame, **how) -> DataFrame:
+    return similar_pairs(*alias_args(man_docs, **how))
 
 
 def groups(pairs: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each record with a near duplicate: its group and its number of links."""
-    pairs = materialize(_near(spark, d), "near")
-    one = [neardup.groups(pairs.where(F.col("tab") == t)).withColumn("tab", F.lit(t)) for t in ("chunks", "man_docs")]
+    args = {"chunks": neardup.chunk_args, "man_docs": neardup.alias_args}
+    one = [neardup.class_groups(*neardup.similar_classes(*f(table(spark, d, t)))).withColumn("tab", F.lit(t)) for t, f in args.items()]
     return one[0].unionByName(one[1]).select("tab", "key", "group", "links")
 
 
