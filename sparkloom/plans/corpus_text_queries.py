@@ -161,9 +161,9 @@ def interval_chunk_for(spark, d):
     return C.containing_chunk(off, c)
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """The five best chunks of each question with their places."""
-    got = lexical.bm25(_chunks(spark, d), _asked(spark, d), k=5).select(F.col("qid").alias("query_id"), "rank", "chunk_id")
+def _hits(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """The k best chunks of each question with their places."""
+    got = lexical.bm25(_chunks(spark, d), _asked(spark, d), k=k).select(F.col("qid").alias("query_id"), "rank", "chunk_id")
     return materialize(got.join(_chunks(spark, d).select("chunk_id", "doc_id", "sec_id", "ord", "prefix", "text"), "chunk_id"), "bm25")
 
 

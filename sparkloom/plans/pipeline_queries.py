@@ -114,10 +114,10 @@ def embed_chunks(spark, d):
 
 @query()
 def rerank_and_read(spark, d):
-    """The hits of each question reranked, and the answer of the stand-in reader from the first."""
+    """The whole pool of candidates of each question reranked, and the answer of the stand-in reader from the first."""
     from sparkloom.plans.corpus_text_queries import _asked, _hits
 
-    h = _hits(spark, d).join(_asked(spark, d).select(F.col("qid").alias("query_id"), "question"), "query_id")
+    h = _hits(spark, d, R.CANDIDATES).join(_asked(spark, d).select(F.col("qid").alias("query_id"), "question"), "query_id")
     h = h.withColumn("rerank_score", M.rerank_score("question", F.concat(F.coalesce("prefix", F.lit("")), F.coalesce("text", F.lit("")))))
     best = R.ranked(h.drop("rank"), ["query_id"], [F.desc("rerank_score"), F.col("chunk_id")], 1)
     return best.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("score"), M.read_answer("question", "text").alias("answer"))
