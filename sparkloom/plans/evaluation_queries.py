@@ -173,9 +173,13 @@ o AS (SELECT fold, max(b - g) FILTER (b > g)::BIGINT AS gain, arg_max(score + 1e
 SELECT f.fold, o.threshold, o.gain, (SELECT count(*) FROM s WHERE s.fold <> f.fold AND s.score < o.threshold AND good) AS removed_good, (SELECT count(*) FROM s WHERE s.fold <> f.fold AND s.score < o.threshold AND NOT good) AS removed_bad
 FROM (SELECT true AS fold UNION ALL SELECT false) f LEFT JOIN o USING (fold)""")
 def verifier_folds(spark, d):
-    """A threshold chosen on one half of the answers, applied to the other, both ways."""
-    r = _runs(spark, d)[1].where("answerable and not abstained and score is not null").select("key", "score", F.col("correct").alias("good"), (F.substring("key", -1, 1) < "m").alias("fold"))
-    r = materialize(r, "folds")
+    """A threshold chosen on one half of the answers, applied to the other, both ways; all variants of a question lie in one half."""
+    return held_out(_runs(spark, d)[1].where("answerable and not abstained and score is not null").select("key", "score", F.col("correct").alias("good")))
+
+
+def held_out(scored):
+    """(fold, threshold, gain, removed_good, removed_bad) of (key, score, good): the fold is whether the CRC-32 of the key before its first dot is odd."""
+    r = materialize(scored.withColumn("fold", F.crc32(F.substring_index("key", ".", 1)) % 2 == 1), "folds")
     out = None
     for fold in (True, False):
         best = E.choose_verifier(E.verifier_points(r.where(F.col("fold") == fold)))
