@@ -11,6 +11,7 @@ from sparkloom.functions import models as M
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tools as TL
 from sparkloom.operators import training as TR
+from sparkloom.operators.hierarchy import hierarchy
 from sparkloom.plans.corpus_queries import _TRIM
 from sparkloom.plans.spec import Registry
 from sparkloom.runtime import materialize, shared_dir, table
@@ -161,11 +162,22 @@ def idle_sessions_stream(spark, d):
 
 
 def _rendered(spark: SparkSession, d: str) -> DataFrame:
-    """Every page as a rendered page: running heads, NAME, its sections' texts as DESCRIPTION, SEE ALSO."""
-    m = _pages(spark, d).where("name is not null and section is not null")
+    """Every page as a rendered page: running heads, its sections with their whole texts, NAME and SEE ALSO of its record.
+
+    Sections follow their root: roots stand at the margin, all below them three blanks in, texts seven.
+    A section without a heading is headed by its sec_id; one on a cycle is its own root.
+    """
+    s = table(spark, d, "sections").where("doc_id is not null and sec_id is not null").dropDuplicates(["sec_id"])
+    tree = hierarchy(s, "sec_id", "parent").select(F.col("node").alias("sec_id"), F.when(F.col("depth") < 0, F.col("node")).otherwise(F.col("root")).alias("root"), F.greatest("depth", F.lit(0)).alias("depth"))
+    title = F.concat(F.when(F.col("depth") > 0, " " * manpages.SUBSECTION).otherwise(""), F.coalesce("heading", "sec_id"))
+    indent = "\n" + " " * manpages.BODY
+    part = F.concat(title, F.lit(indent), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", indent), F.lit("\n"))
+    placed = s.join(tree, "sec_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("root", "depth", "sec_id", part.alias("part")))).alias("parts"))
+    placed = placed.select("doc_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("body"))
+    m = _pages(spark, d).where("name is not null and section is not null").join(placed, "doc_id", "left")
     head = F.concat(F.upper("name"), F.lit("("), F.col("section"), F.lit(")"))
     refs = F.array_join(F.transform(F.filter(F.coalesce("see_also", F.array().cast("array<struct<name:string,section:string>>")), lambda r: r["name"].isNotNull() & r["section"].isNotNull()), lambda r: F.concat(F.trim(r["name"]), F.lit("("), F.trim(r["section"]), F.lit(")"))), ", ")
-    body = F.concat(head, F.lit("   Manual   "), head, F.lit("\nNAME\n       "), F.col("name"), F.lit(", "), F.col("name"), F.lit("x - "), F.coalesce("summary", F.lit("")), F.lit("\n\nDESCRIPTION\n       Text.\n   Part\n       More.\nSEE ALSO\n       "), refs, F.lit("\n"), head, F.lit("   end   "), head)
+    body = F.concat(head, F.lit("   Manual   "), head, F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("NAME\n       "), F.col("name"), F.lit(", "), F.col("name"), F.lit("x - "), F.coalesce("summary", F.lit("")), F.lit("\nSEE ALSO\n       "), refs, F.lit("\n"), head, F.lit("   end   "), head)
     return m.select("name", "section", body.alias("rendered"))
 
 
