@@ -165,7 +165,7 @@ def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
             # at a line end where there is one
             b = t.rfind("\n", a, a + SLICE) + 1 if a + SLICE < len(t) else len(t)
             b = b or a + SLICE
-            held.append((row, t[a:b] + "\n"))
+            held.append((row, t[a:b] if t[b - 1] == "\n" else t[a:b] + "\n"))
             a = b
             size += len(held[-1][1])
             if size >= SLICE:
