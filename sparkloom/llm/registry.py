@@ -39,18 +39,18 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return one[0].unionByName(one[1]).select("tab", "key", "group", "links")
 
 
-def _terms(spark: SparkSession, d: str, sigma: int) -> DataFrame:
-    return terms.marked_terms(terms.without_repeats(table(spark, d, "chunks"), "chunk_id", "rowid"), ["text", "prefix"], sigma)
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.marked_terms(terms.without_repeats(table(spark, d, "chunks"), "chunk_id", "rowid"), ["text", "prefix"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Words that too few or too many chunks hold."""
-    return _terms(spark, d, 1).where("mark is not null").select("field", "term", "mark")
+    """Words that too few or too many chunks hold: of the counts of all truncated suffixes, those of one word."""
+    return _terms(spark, d).where((F.instr("term", " ") == 0) & F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every word and every two successive words: occurrences, chunks and mark."""
-    return _terms(spark, d, 2)
+    return _terms(spark, d)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:

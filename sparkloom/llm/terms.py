@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import words
-from sparkloom.runtime import materialize, maybe_broadcast
+from sparkloom.runtime import materialize, maybe_broadcast, parts
 
 #: Distinct suffixes that a task holds before it sends their counts on.
 HELD = 300_000
-#: Partitions of one first term: longer suffixes are spread by their second term, and the counts of a prefix that several hold are added up.
-SPREAD = 8
+#: Words of a truncated suffix.
+SIGMA = 2
 
 
 def without_repeats(df: DataFrame, key: str, row: str) -> DataFrame:
@@ -25,14 +25,15 @@ def without_repeats(df: DataFrame, key: str, row: str) -> DataFrame:
     return df.join(maybe_broadcast(materialize(extra, "repeats"), 24), row, "left_anti")
 
 
-def suffix_counts(df: DataFrame, columns: list[str], sigma: int = 1) -> DataFrame:
+def suffix_counts(df: DataFrame, columns: list[str], sigma: int = SIGMA) -> DataFrame:
     """(field, ngram, n, records): how often each sequence of up to ``sigma`` words occurs in each column, and in how many rows.
 
     Every word starts a suffix, cut after sigma words. Tasks add up equal suffixes first; with each
     travel, for each of its prefixes, the number of rows in which the suffix holds the prefix's first
-    occurrence, so that row sets are added as numbers. Suffixes are routed by their first term, sorted
-    in reverse, so that a prefix follows what extends it, and one stack of prefixes per partition
-    yields all counts. The n-gram '' counts the rows whose column is neither null nor blank. Null and
+    occurrence, so that row sets are added as numbers. Suffixes are routed by their first term, and by a
+    hash of the second over all partitions, so that a frequent first term is no single group; sorted in
+    reverse, a prefix follows what extends it, and one stack of prefixes per partition yields all counts,
+    which are added up over partitions. The n-gram '' counts the rows whose column is neither null nor blank. Null and
     blank texts have no words; an empty table gives an empty result.
     """
     names = [f"r{k}" for k in range(1, sigma + 1)]
@@ -48,36 +49,25 @@ def suffix_counts(df: DataFrame, columns: list[str], sigma: int = 1) -> DataFram
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict] = {c: {} for c in columns}
-        often, rows = {c: Counter() for c in columns}, {c: Counter() for c in columns}
 
         def flush(c: str) -> pa.RecordBatch:
-            if sigma == 1:
-                held[c] |= {(w,): (n, rows[c][w]) for w, n in often[c].items() if w}
-                if rows[c][""]:
-                    held[c][()] = (rows[c][""], rows[c][""])
-                often[c].clear()
-                rows[c].clear()
             out = batch(held[c], c)
             held[c].clear()
             return out
 
         for b in batches:
             for c in columns:
-                mine, n_mine, r_mine = held[c], often[c], rows[c]
+                mine = held[c]
                 for text in b[c].to_pylist():
                     ws = words(text)
-                    if sigma == 1:
-                        n_mine.update(ws)
-                        r_mine.update(set(ws))
-                        r_mine[""] += bool(ws) or bool(text and text.strip())
-                        continue
                     if ws or (text and text.strip()):
                         blank = mine.setdefault((), [0] * (sigma + 1))
                         for k in range(sigma + 1):
                             blank[k] += 1
                     seen = set()
-                    for i in range(len(ws)):
-                        s = tuple(ws[i : i + sigma])
+                    for s in zip_longest(*(ws[k:] for k in range(sigma))):
+                        if s[-1] is None:
+                            s = tuple(w for w in s if w is not None)
                         at = mine.get(s)
                         if at is None:
                             at = mine[s] = [0] * (sigma + 1)
@@ -88,7 +78,7 @@ def suffix_counts(df: DataFrame, columns: list[str], sigma: int = 1) -> DataFram
                                 break  # then its shorter prefixes were seen as well
                             seen.add(p)
                             at[k] += 1
-                if len(mine) > HELD or len(n_mine) > HELD:
+                if len(mine) > HELD:
                     yield flush(c)
         for c in columns:
             yield flush(c)
@@ -135,11 +125,11 @@ def suffix_counts(df: DataFrame, columns: list[str], sigma: int = 1) -> DataFram
             yield _rows(out)
 
     sent = df.select(*columns).mapInArrow(suffixes, schema)
-    route = [F.col("field"), F.substring_index("suffix", " ", 1), F.pmod(F.xxhash64("second"), F.lit(SPREAD))]
+    route = [F.col("field"), F.substring_index("suffix", " ", 1), F.pmod(F.xxhash64("second"), F.lit(parts(df.sparkSession)))]
     # equal suffixes of several tasks need not be added before: the stack adds them as they come
     ordered = sent.repartition(*route).sortWithinPartitions("field", F.desc("suffix"))
     got = ordered.mapInArrow(stack, "field string, ngram string, n long, records long")
-    return got.groupBy("field", "ngram").agg(F.sum("n").alias("n"), F.sum("records").alias("records")) if sigma > 1 else got
+    return got.groupBy("field", "ngram").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -147,7 +137,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"field": pa.array(a, pa.string()), "ngram": pa.array(b, pa.string()), "n": pa.array(c, pa.int64()), "records": pa.array(d, pa.int64())})
 
 
-def marked_terms(df: DataFrame, columns: list[str], sigma: int = 1, rare: int = 2, common: tuple[int, int] = (1, 5)) -> DataFrame:
+def marked_terms(df: DataFrame, columns: list[str], sigma: int = SIGMA, rare: int = 2, common: tuple[int, int] = (1, 5)) -> DataFrame:
     """(field, term, n, records, mark): mark is ``rare`` for at most ``rare`` rows, else ``common`` for more
     than the given share of the rows that are not blank, else null."""
     got = materialize(suffix_counts(df, columns, sigma), "terms")
