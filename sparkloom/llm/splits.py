@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import filled
 from sparkloom.operators.graph import connected_components
-from sparkloom.runtime import materialize
+from sparkloom.operators.prefix import positions
+from sparkloom.runtime import materialize, maybe_broadcast
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: Families placed by one task; more families are dealt to more blocks, each stratified by its own needs.
-BLOCK_FAMILIES = 50_000
-#: A family of more than one in so many records is placed before the blocks; there can't be more of them.
+#: A family of more than one in so many records is placed by itself; there can't be more of them.
 LARGE = 1000
-#: More distinct labels than this are hashed to so many bins.
-LABELS = 1024
+#: Pairs of labels that occur together in some family at most; labels are categories, whose number does not grow with the rows.
+PAIRS = 1_000_000
+# Multiples of the golden ratio are spread evenly over the unit interval.
+GOLDEN = 0.6180339887498949
 
 
 def families(df: DataFrame, key: str, refs: list[str], prefix_end: str = ".") -> DataFrame:
@@ -39,88 +38,99 @@ def families(df: DataFrame, key: str, refs: list[str], prefix_end: str = ".") ->
     return keys.join(named, "component").select("key", "family", "members")
 
 
-def _place(rows: pd.DataFrame, need: np.ndarray) -> list[int]:
-    """Split of each family of ``rows`` (columns family, vec), changing ``need`` [split, label] as it goes."""
-    vecs = rows["vec"].tolist()
-    out = [-1] * len(vecs)
-    left = np.zeros(need.shape[1])
-    by_label: dict[int, list[int]] = {}
-    for i in sorted(range(len(vecs)), key=lambda i: (-vecs[i][0][1], rows["family"].iat[i])):
-        for label, n in vecs[i]:
-            left[label] += n
-            by_label.setdefault(int(label), []).append(i)
+def _place(families: list[tuple[str, dict[str, int]]], need: dict[str, list[float]]) -> dict[str, int]:
+    """Split of each family (name, records by label; label '' counts all), changing ``need`` by label and split as it goes."""
+    out: dict[str, int] = {}
+    left: dict[str, int] = {}
+    by_label: dict[str, list[tuple[str, dict[str, int]]]] = {}
+    for name, vec in sorted(families, key=lambda f: (-f[1][""], f[0])):
+        for label, n in vec.items():
+            left[label] = left.get(label, 0) + n
+            by_label.setdefault(label, []).append((name, vec))
     while by_label:
         label = min(by_label, key=lambda x: (left[x], x))
-        for i in by_label.pop(label):
-            if out[i] >= 0:
+        for name, vec in by_label.pop(label):
+            if name in out:
                 continue
-            s = max(range(len(need)), key=lambda s: (round(need[s, label], 9), round(need[s, 0], 9), -s))
-            out[i] = s
-            for k, n in vecs[i]:
-                need[s, int(k)] -= n
-                left[int(k)] -= n
+            s = out[name] = max(range(len(need[""])), key=lambda s: (round(need[label][s], 9), round(need[""][s], 9), -s))
+            for k, n in vec.items():
+                need[k][s] -= n
+                left[k] -= n
     return out
 
 
+def levels(need: list[float], mass: float) -> list[float]:
+    """What each split gets of ``mass`` if each record goes to the split in most need: the one in most
+    need gets all until it is level with the next, then both take turns, and so on."""
+    order = sorted(range(len(need)), key=lambda s: (-need[s], s))
+    amounts, left = [0.0] * len(need), float(mass)
+    for j in range(1, len(order) + 1):
+        part = left if j == len(order) else min(left, j * (need[order[j - 1]] - need[order[j]]))
+        for s in order[:j]:
+            amounts[s] += part / j
+        left -= part
+    return amounts
+
+
 def grouped_splits(members: DataFrame, labels: Column, splits=SPLITS) -> DataFrame:
     """(key, family, split): all keys of a family in one split, with the given shares of every label.
 
     members: (key, family, ...) with the columns that ``labels`` (an array of strings) uses. Label
-    vectors are added up by family. Families above N/1000 records, at most 1000, are placed first; the
-    rest in blocks of some 50,000 families that get the remaining needs in proportion to their own
-    records. In a block the rarest outstanding label comes first, and its families, largest first, go to
-    the split needing that label most, then the most records, then the first named. Null labels don't
-    count. Every family gets a split; an empty table gives an empty result.
+    vectors are added up by family, and the rarest label goes first: its families, largest first, go to
+    the split that needs it most. A family belongs to the rarest of its labels. What a label's families
+    take of the other labels is known from sums by pairs of labels, so needs are followed on those sums,
+    label by label; then all families are dealt at once, in order of label and size, by an evenly spread
+    sequence, so that each split gets its amount of each label in families of every size. Families above N/1000 records, at most 1000, are placed one by one before. Null and empty
+    labels don't count; families without labels come last, by records. Every family gets a split; an
+    empty table gives an empty result. More than ``PAIRS`` pairs of labels are an error.
     """
     spark = members.sparkSession
-    fam = members.groupBy("family").agg(F.count("*").alias("n"))
-    each = members.select("family", F.explode(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))).alias("label")).groupBy("family", "label").agg(F.count("*").alias("n"))
-    each = materialize(each, "labels")
-    bins = each.select("label").distinct()
-    if bins.count() > LABELS - 1:
-        code = (1 + F.pmod(F.xxhash64("label"), F.lit(LABELS - 1))).cast("int")
-    else:  # bounded by LABELS
-        names = {r[0]: i + 1 for i, r in enumerate(sorted(bins.collect()))}
-        code = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("label")] if names else F.lit(1)
-    pairs = each.select("family", code.cast("int").alias("label"), "n").groupBy("family", "label").agg(F.sum("n").alias("n"))
-    # label 0 counts records
-    pairs = pairs.unionByName(fam.select("family", F.lit(0).alias("label"), "n"))
-    vec = pairs.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("vec"))
-    vec = materialize(vec.withColumn("size", F.col("vec")[0]["n"]), "families")
-    share = np.array([p for _, p in splits])
-
-    def totals(df: DataFrame) -> np.ndarray:
-        got = np.zeros(LABELS)
-        for r in df.select(F.explode("vec").alias("x")).groupBy("x.label").agg(F.sum("x.n").alias("n")).collect():
-            got[r[0]] = r[1]
-        return got
-
-    whole = totals(vec)
-    need = share[:, None] * whole[None, :]
-    bound = whole[0] / LARGE
-    as_rows = lambda pdf: pdf.assign(vec=[[(x["label"], x["n"]) if isinstance(x, dict) else (x[0], x[1]) for x in v] for v in pdf["vec"]])
-    large = pd.DataFrame([(r["family"], [tuple(x) for x in r["vec"]]) for r in vec.where(F.col("size") > bound).collect()], columns=["family", "vec"]) if whole[0] else None
-    first = []
-    if large is not None and len(large):
-        first = list(zip(large["family"], _place(large, need)))
-    rest = vec.where(F.col("size") <= bound)
-    sums = totals(rest)
-    blocks = max(1, -(-rest.count() // BLOCK_FAMILIES))
-    names = [s for s, _ in splits]
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = as_rows(pdf)
-        own = np.zeros(LABELS)
-        for v in pdf["vec"]:
-            for k, n in v:
-                own[k] += n
-        mine = need * (own / np.maximum(sums, 1))[None, :]
-        return pd.DataFrame({"family": pdf["family"], "split": [names[s] for s in _place(pdf, mine)]})
-
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("family"), F.lit(blocks))).groupBy("block").applyInPandas(place, "family string, split string")
-    if first:
-        dealt = dealt.union(spark.createDataFrame([(f, names[s]) for f, s in first], "family string, split string"))
-    return members.join(dealt, "family").select("key", "family", "split")
+    names, share = [s for s, _ in splits], [p for _, p in splits]
+    fam = members.groupBy("family").agg(F.count("*").alias("size"))
+    each = members.select("family", F.explode(F.array_distinct(F.filter(labels, lambda x: x.isNotNull() & (x != "")))).alias("label")).groupBy("family", "label").agg(F.count("*").alias("n"))
+    each = materialize(each.join(fam, "family"), "labels")
+    whole = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.sum("n").alias("n")).limit(PAIRS + 1).collect()}
+    fam = materialize(fam, "families")
+    n = whole[""] = fam.agg(F.sum("size")).first()[0] or 0
+    if len(whole) > PAIRS:
+        raise ValueError(f"more than {PAIRS} labels")
+    need = {label: [p * total for p in share] for label, total in whole.items()}
+
+    # large families one by one: at most LARGE rows by arithmetic, each with its labels
+    bound = n / LARGE
+    first: dict[str, dict[str, int]] = {r["family"]: {"": r["size"]} for r in fam.where(F.col("size") > bound).collect()}
+    for r in each.where(F.col("size") > bound).collect():
+        first[r["family"]][r["label"]] = r["n"]
+    placed = _place(list(first.items()), need)
+
+    # the rest by their rarest label
+    rest = each.where(F.col("size") <= bound)
+    rarity = maybe_broadcast(spark.createDataFrame([(k, v) for k, v in whole.items() if k], "label string, total long"), 128)
+    home = rest.join(rarity, "label").groupBy("family").agg(F.min_by(F.struct("label", "n"), F.struct("total", "label")).alias("h")).select("family", F.col("h.label").alias("home"), F.col("h.n").alias("mass"))
+    home = fam.where(F.col("size") <= bound).join(home, "family", "left").select("family", "size", F.coalesce("home", F.lit("")).alias("home"), F.coalesce("mass", "size").alias("mass"))
+    home = materialize(home, "home")
+    sums = rest.join(home.select("family", "home"), "family").groupBy("home", "label").agg(F.sum("n").alias("n"))
+    sums = sums.unionByName(home.groupBy("home").agg(F.sum("size").alias("n")).select("home", F.lit("").alias("label"), "n")).limit(PAIRS + 1).collect()
+    if len(sums) > PAIRS:
+        raise ValueError(f"more than {PAIRS} pairs of labels")
+    takes: dict[str, dict[str, int]] = {}
+    for r in sums:
+        takes.setdefault(r["home"], {})[r["label"]] = r["n"]
+    plan = []
+    for h in sorted(takes, key=lambda x: (x == "", whole[x], x)):
+        mass = takes[h][h]
+        amounts = levels(need[h], mass)
+        plan.append((h, [sum(amounts[: j + 1]) / mass for j in range(len(names) - 1)]))
+        for label, k in takes[h].items():
+            for s, a in enumerate(amounts):
+                need[label][s] -= k * a / mass
+    plan = maybe_broadcast(spark.createDataFrame(plan, "home string, cuts array<double>"), 128)
+    dealt = positions(home, [F.col("home"), F.desc("mass"), F.desc("size"), F.col("family")], "_no").join(plan, "home")
+    spread = F.col("_no") * GOLDEN - F.floor(F.col("_no") * GOLDEN)
+    out = dealt.select("family", F.element_at(F.array(*map(F.lit, names)), 1 + F.size(F.filter("cuts", lambda x: x <= spread))).alias("split"))
+    if placed:
+        out = out.union(spark.createDataFrame([(f, names[s]) for f, s in placed.items()], "family string, split string"))
+    return members.join(out, "family").select("key", "family", "split")
 
 
 def question_splits(questions: DataFrame, refs: list[str]) -> DataFrame:
