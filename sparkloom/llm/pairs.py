@@ -1,8 +1,10 @@
 """Broken prompt and response pairs: one defect for each answer that is no proper response.
 
 Languages are compared by the posteriors of a naive Bayes model over character n-grams, fitted on a
-bounded sample of documents with a stated language. Whether an answer breaks off is judged by how often
-its last words end a sentence anywhere in the answers.
+bounded sample of documents with a stated language. Refusals are told by a second naive Bayes model over
+word n-grams, which labels itself by what the run recorded as abstained. Whether an answer breaks off is
+judged by the smoothed likelihood that its last words, or if they are unseen their last characters, end a
+sentence anywhere in the answers.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import fold
-from sparkloom.runtime import fixed_broadcast, materialize
+from sparkloom.runtime import fixed_broadcast, materialize, maybe_broadcast
 
-#: Documents per language that the language model is fitted on, picked by hash; languages: the most frequent, at most so many.
+#: Documents per language that the language model is fitted on, picked by hash. Languages are two letters.
 SAMPLE_DOCS = 400
-SAMPLE_LANGS = 16
+#: Answers recorded as abstained, and as not, that the model of refusals is fitted on, picked by hash.
+SAMPLE_ANSWERS = 4000
 #: Bins of hashed character n-grams of each language.
 NGRAM_BINS = 1 << 15
 NGRAMS = (1, 2, 3, 4)
@@ -35,44 +38,31 @@ NGRAMS = (1, 2, 3, 4)
 ODDS = 6.0
 #: Letters of running text that a language is judged on at least.
 LETTERS = 12
-#: An end is likely if at least this share of the occurrences of the last words ends a sentence.
-END_SHARE = 0.05
-#: A word pair or word counts if it occurs this often.
-END_SEEN = 3
+#: An end is unlikely below this share of the overall likelihood that a word ends a sentence.
+END_SHARE = 0.5
+#: Weight of the shorter context beside the counts of a longer one, in occurrences.
+BACK_OFF = 3.0
+#: Occurrences that an ideal refusal or answer stands for, and that an n-gram of refusals needs to count.
+IDEAL_WEIGHT, SEEN = 5, 3
+#: Log odds against a refusal that a single sentence of one may have.
+SENTENCE_ODDS = 2.0
 
 # Placeholders that stand for no answer.
 PLACEHOLDERS = frozenset("none null nil nan na n a n/a not available not applicable tbd todo tba empty blank no answer unknown undefined keine aucune aucun ninguna ninguno нет".split()) | {
     "n a", "not available", "not applicable", "no answer", "no response", "to do",
 }
 
-# How an answer declines, by language. Each pattern is searched in a folded sentence.
-_SOURCES = r"(?:extracts?|sources?|passages?|documentation|documents?|manual|manuals|pages?|text|texts|context|excerpts?|material|materials|references?)"
-REFUSALS = [
-    rf"\b{_SOURCES}\b[^.]{{0,40}}\b(?:do|does|did|is|are) (?:not|n't) (?:contain|mention|say|address|cover|provide|include|answer|state|explain|specify|have|give|describe any|show any|discuss)",
-    rf"\b{_SOURCES}\b[^.]{{0,40}}\b(?:don't|doesn't|didn't) (?:contain|mention|say|address|cover|provide|include|answer|state|explain|specify|have|give|discuss)",
-    rf"\b(?:none|neither|nothing) (?:of|in) the\b[^.]*\b{_SOURCES}\b",
-    rf"\b{_SOURCES}\b[^.]{{0,20}}\b(?:is|are) silent\b",
-    r"\b(?:i|we) (?:can ?not|can't|could not|couldn't|am unable to|am not able to|are unable to) (?:\w+ ){0,3}?(?:answer|say|help|tell|determine|find|provide|respond|assist|give|comply)",
-    r"\b(?:i am|i'm|we are|we're) (?:not able|unable) to\b",
-    r"\b(?:i|we) (?:do not|don't|would not|wouldn't) (?:know|have (?:enough|any|the|sufficient))",
-    r"\b(?:i|we) would rather not\b|\bi(?:'d| would) prefer not\b|\bi must decline\b|\bi decline\b",
-    r"\b(?:it is|it's) (?:not possible|impossible) to (?:say|tell|answer|determine|know)",
-    rf"\b(?:is|are|was|were) not (?:covered|mentioned|addressed|described|stated|contained|included|documented|explained|answered|discussed|found)\b[^.]*\b{_SOURCES}\b",
-    r"\bno answer (?:can|could) be\b|\bcan(?:not|'t) be (?:answered|determined)\b",
-    rf"\bthere is no (?:information|answer|mention)\b|\bno information (?:about|on|is|was)\b|\bno (?:relevant )?(?:information|answer|{_SOURCES}) (?:is|are|was|were|could|can)\b",
-    r"\bkeine (?:antwort|angabe|angaben|information|informationen|auskunft)\b|\bnicht (?:beantworten|beantwortet|sagen|entnehmen|ersichtlich|helfen)\b|\bweiß (?:ich |es )?(?:das |es )?nicht\b",
-    r"\bne (?:peux|peut|puis|pouvons|sais|savons) pas\b|\bne contien\w+ (?:pas|aucune?)\b|\bne (?:permet\w*|mentionn\w+|dis\w+) (?:pas|rien|aucune?)\b|\baucune (?:réponse|information)\b|\bpas (?:de|la) réponse\b",
-    r"\bno (?:puedo|podemos|se puede|es posible|sé|sabemos)\b[^.]{0,30}\b(?:responder|contestar|decir|saber|ayudar|respuesta)|\bno (?:contienen?|mencionan?|incluyen?|dan|ofrecen)\b|\bno lo sé\b|\bno hay (?:respuesta|información)\b",
-    r"\bне (?:могу|можем|содерж\w+|знаю|знаем|упомина\w+)|\b(?:нет|никакого) (?:ответа|информации|сведений)\b|\b(?:невозможно|нельзя) (?:ответить|сказать|определить)",
-]
-# Sentences that may go with a refusal and answer nothing.
-FILLERS = [
-    r"no (?:\w+ ){0,2}is relevant\b[^.]*", r"please (?:consult|see|check|refer to|try|provide|rephrase)\b[^.]*", r"(?:you|one) (?:may|might|can|could) (?:want to|wish to|try to)? ?(?:rephrase|consult|check|ask|refer)\b[^.]*",
-    r"sorry|unfortunately|i apologi[sz]e\b[^.]*", r"bitte\b[^.]*", r"veuillez\b[^.]*", r"por favor\b[^.]*", r"пожалуйста\b[^.]*",
+# Ideal refusals and ideal answers, beside the sample, so that neither is ever without examples.
+DECLINES = [
+    "I don't know.", "I do not know the answer.", "I cannot answer this from the extracts.", "The extracts do not say.", "The documents do not mention this.", "There is no information about it in the sources.",
+    "Sorry, I am not able to help with this.", "Please consult the full manual.", "This is not covered by the documentation.", "Das weiß ich nicht.", "Die Quellen enthalten keine Antwort.", "Je ne sais pas.",
+    "Les extraits ne donnent aucune réponse.", "No lo sé.", "Los documentos no contienen la respuesta.", "Я не знаю ответа.", "В источниках нет ответа.",
+]
+ANSWERS = [
+    "Use the option to list every file in the folder.", "It is kept in the file and read at startup.", "Run the command in the folder, which writes the list.", "The extracts mention the option that lists the files, but it is off by default.", "Yes, you can set it in the manual mode.",
+    "The command does not write the file unless it is told to.", "Set the value to 1 and start the program again.", "Die Option schreibt die Datei in den Ordner.", "Der Wert wird beim Start gelesen.", "L'option écrit le fichier dans le dossier.", "La commande lit la valeur au démarrage.",
+    "La opción escribe el archivo en la carpeta.", "El programa lee el valor al inicio.", "Программа пишет файл в каталог.", "Значение читается при запуске.",
 ]
-_refusal = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
-_filler = re.compile("|".join(f"(?:{p})" for p in FILLERS))
-_more = re.compile(r"\b(?:but|however|though|although|aber|jedoch|mais|pero|но)\b|`")
 _citation = re.compile(r"\s*\[\s*\d+(?:\s*,\s*\d+)*\s*\]")
 _label = re.compile(r"^\W*(?:you asked|your question(?: was| is)?|the question(?: was| is)?|question|asked|q|frage|ihre frage|la question|votre question|pregunta|вопрос)\s*:\s*")
 _word = regex.compile(r"[\p{L}\p{N}]+")
@@ -117,21 +107,6 @@ def is_copy(answer: str, question: str) -> bool:
     return m.ratio() >= 0.8
 
 
-def is_refusal(answer: str) -> bool:
-    """Every sentence declines or is a mere phrase beside it, and at least one declines."""
-    text = _citation.sub("", fold(answer)).replace("’", "'")
-    seen = False
-    for s in re.split(r"[.!?\n]+", text):
-        s = s.strip(" ,;:-–—\"'“”«»()*")
-        if not s:
-            continue
-        if _refusal.search(s) and not _more.search(s):
-            seen = True
-        elif not _filler.fullmatch(s):
-            return False
-    return seen
-
-
 def running_text(text: str) -> str:
     """Folded words of running text: without code, quotations, paths, options and names in capitals."""
     text = _citation.sub(" ", _quoted.sub(" ", text))
@@ -148,12 +123,20 @@ def ngram_bins(text: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(g) % NGRAM_BINS for g in out), np.int64, len(out))
 
 
+def log_likelihood(counts: np.ndarray) -> np.ndarray:
+    """Logarithm of the share of each bin in each row of counts; half an occurrence is added to each bin, in
+    proportion to the row's total, so that what no row has is equally likely in all."""
+    total = counts.sum(1, keepdims=True)
+    more = 0.5 * total / max(1.0, float(total.mean())) + 1e-9
+    return np.log((counts + more) / (counts + more).sum(1, keepdims=True))
+
+
 class Languages:
     """Naive Bayes over hashed character n-grams."""
 
     def __init__(self, names: list[str], counts: np.ndarray):
         self.names = names
-        self.log = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)) if len(names) else np.zeros((0, NGRAM_BINS))
+        self.log = log_likelihood(counts) if len(names) else np.zeros((0, NGRAM_BINS))
         self.seen: dict[str, np.ndarray] = {}
 
     def scores(self, text: str) -> np.ndarray:
@@ -186,19 +169,28 @@ class Languages:
         return x != y and sa[x] - sa[y] > ODDS and sq[y] - sq[x] > 0.5 * ODDS
 
 
+def _sampled(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """Of (key, by) the ``most`` rows of each value of ``by`` (few values) with the least hash of the key.
+
+    Values are counted first, and only rows below the hash that some 1.5 times ``most`` rows are expected
+    under are ranked, so that no value is ranked as a whole.
+    """
+    n = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    u = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 1).cast("double") / float(1 << 63)
+    low = rows.join(fixed_broadcast(n, 26 * 26), by).withColumn("_u", u).where(F.col("_u") * F.col("_n") < 1.5 * most + 50)
+    return low.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy("_u", key))).where(F.col("_k") <= most).select(key, by)
+
+
 def fit_languages(documents: DataFrame, per_language: int = SAMPLE_DOCS) -> Languages:
     """Fitted on the ``per_language`` documents of each stated language that have the least hash of doc_id.
 
-    Stated languages are trimmed, lower-cased and cut to two letters. n-gram counts are added up on the
-    executors; one row of fixed size for each of at most 16 languages comes to the driver.
+    Stated languages are trimmed, lower-cased and cut to two letters a to z; others are left out. n-gram
+    counts are added up on the executors; one row of fixed size for each language comes to the driver.
     """
     lang = F.substring(F.lower(F.trim("lang")), 1, 2)
-    rows = documents.select("doc_id", lang.alias("lang"), F.xxhash64("doc_id").alias("h")).where("lang is not null and length(lang) = 2 and doc_id is not null")
-    often = rows.groupBy("lang").count().where("count >= 3").orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS)
-    rows = rows.join(fixed_broadcast(often.select("lang"), SAMPLE_LANGS), "lang")
-    picked = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    picked = materialize(picked.select("doc_id", "lang"), "sample")
-    texts = documents.select("doc_id", "text").where("text is not null").join(fixed_broadcast(picked, SAMPLE_LANGS * per_language), "doc_id")
+    rows = documents.select("doc_id", lang.alias("lang")).where(F.col("lang").rlike("^[a-z]{2}$") & F.col("doc_id").isNotNull()).distinct()
+    picked = materialize(_sampled(rows, "lang", "doc_id", per_language), "sample")
+    texts = documents.select("doc_id", "text").where("text is not null").join(maybe_broadcast(picked, 32), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -209,13 +201,76 @@ def fit_languages(documents: DataFrame, per_language: int = SAMPLE_DOCS) -> Lang
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "blob": pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())})
 
     def add(pdf):
-        return pdf.iloc[:1].assign(blob=[sum(np.frombuffer(zlib.decompress(b), np.int64) for b in pdf["blob"]).tobytes()])
+        return pdf.iloc[:1].assign(blob=[zlib.compress(sum(np.frombuffer(zlib.decompress(b), np.int64) for b in pdf["blob"]).tobytes(), 1)])
 
     got = texts.select("lang", "text").mapInArrow(count, "lang string, blob binary").groupBy("lang").applyInPandas(add, "lang string, blob binary").collect()
-    got = sorted((r["lang"], np.frombuffer(r["blob"], np.int64)) for r in got)
+    got = sorted(((r["lang"], np.frombuffer(zlib.decompress(r["blob"]), np.int64)) for r in got), key=lambda x: x[0])
     return Languages([n for n, _ in got], np.array([c for _, c in got]).reshape(len(got), NGRAM_BINS).astype(float))
 
 
+_stop = re.compile(r"[.!?\n]+(?=\s|$)")
+_piece = re.compile(r"[^\W\d_][\w'\-]*|\S")
+
+
+def refusal_bins(question: str, answer: str) -> list[np.ndarray]:
+    """For each sentence of an answer, bins of its n-grams of one to three words and marks; quotations, code and words of the question are one symbol."""
+    known = set(_piece.findall(fold(question).replace("’", "'")))
+    text = _quoted.sub(" # ", _citation.sub("", fold(answer)).replace("’", "'"))
+    out = []
+    for s in _stop.split(text):
+        ws = ["#" if w in known and w[0].isalpha() else w for w in _piece.findall(s)]
+        if any(w[0].isalnum() or w == "#" for w in ws):
+            ws = ["^", *ws, "$"]
+            grams = ws + [f"{x} {y}" for x, y in zip(ws, ws[1:])] + [f"{x} {y} {z}" for x, y, z in zip(ws, ws[1:], ws[2:])]
+            out.append(np.fromiter((xxhash.xxh3_64_intdigest(g) % NGRAM_BINS for g in grams), np.int64, len(grams)))
+    return out
+
+
+class Refusals:
+    """Naive Bayes over hashed word n-grams of sentences: refusals against answers."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: of answers and of refusals, by bin; the ideal ones are added."""
+        counts = counts.astype(float)
+        for k, texts in enumerate((ANSWERS, DECLINES)):
+            for t in texts:
+                counts[k] += IDEAL_WEIGHT * np.bincount(np.concatenate(refusal_bins("", t)), minlength=NGRAM_BINS)
+        log = log_likelihood(counts)
+        # the record is wrong at times: what one or two answers have tells nothing
+        self.odds = np.where(counts.sum(0) >= SEEN, log[1] - log[0], 0.0)
+
+    def declines(self, question: str, answer: str) -> bool:
+        """The answer as a whole is surely a refusal, and none of its sentences is likely an answer."""
+        odds = [float(self.odds[b].sum()) for b in refusal_bins(question, answer)]
+        return bool(odds) and sum(odds) > ODDS and min(odds) > -SENTENCE_ODDS
+
+
+def fit_refusals(rows: DataFrame, most: int = SAMPLE_ANSWERS) -> Refusals:
+    """Fitted on ``most`` answers recorded as abstained and as many recorded as not, of (key, question, answer, abstained).
+
+    Empty answers and copies of the question are left out. The record need not be right for each answer.
+    """
+    picked = _sampled(rows.where("abstained is not null and answer is not null").select("key", "abstained"), "abstained", "key", most)
+    texts = rows.select("key", "question", "answer").join(maybe_broadcast(materialize(picked, "declined"), 32), "key")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, NGRAM_BINS), np.int64)
+        for b in batches:
+            for q, a, k in zip(*(b[c].to_pylist() for c in ("question", "answer", "abstained"))):
+                q, a = clean(q), clean(a)
+                rest = without_question(a, q)
+                if not is_empty(rest) and not (q and is_copy(rest, q)):
+                    for x in refusal_bins(q, rest):
+                        sums[int(k)] += np.bincount(x, minlength=NGRAM_BINS)
+        yield pa.RecordBatch.from_pydict({"one": pa.array([1], pa.int32()), "blob": pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())})
+
+    def add(pdf):
+        return pdf.iloc[:1].assign(blob=[zlib.compress(sum(np.frombuffer(zlib.decompress(b), np.int64) for b in pdf["blob"]).tobytes(), 1)])
+
+    got = texts.select("question", "answer", "abstained").mapInArrow(count, "one int, blob binary").groupBy("one").applyInPandas(add, "one int, blob binary").collect()
+    return Refusals(np.frombuffer(zlib.decompress(got[0]["blob"]), np.int64).reshape(2, -1) if got else np.zeros((2, NGRAM_BINS)))
+
+
 def _tokens(answer: str) -> list[tuple[str, bool]]:
     """Folded tokens, and whether each ends a sentence: by a mark, a citation or the end of a line. The last of the text counts only with a mark or citation."""
     out: list[tuple[str, bool]] = []
@@ -253,73 +308,114 @@ def is_closed(answer: str) -> bool:
     return bool(re.search(r"(?:\[\s*\d+\s*\]|[.!?。])[\s\"'”“»)*_`]*$", clean(answer)))
 
 
-def end_counts(answers: DataFrame, column: str) -> DataFrame:
-    """(context, n, ends) of every last word and pair of words of all answers; context is the pair or word, folded."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ends = Counter(), Counter()
-
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"context": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64()), "ends": pa.array([ends[k] for k in n], pa.int64())})
-            n.clear()
-            ends.clear()
-            return out
-
-        for b in batches:
-            for a in b[column].to_pylist():
-                toks = _tokens(a) if a else []
-                if toks and not is_closed(a):
-                    toks = toks[:-1]  # whether this one is an end is the question
-                prev = ""
-                for w, end in toks:
-                    for c in (w, f"{prev} {w}"):
-                        n[c] += 1
-                        if end:
-                            ends[c] += 1
-                    prev = "" if end else w
-            if len(n) > 300_000:
-                yield rows()
-        yield rows()
-
-    return answers.select(column).where(F.col(column).isNotNull()).mapInArrow(count, "context string, n long, ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+def _suffix(word: str) -> str:
+    return f"^{word}"[-3:]
+
+
+class EndCounts:
+    """How often contexts occur, and end a sentence (``chars``: a word)."""
+
+    def __init__(self):
+        self.n: dict[str, Counter] = {k: Counter() for k in ("pair", "word", "suffix", "chars", "all")}
+        self.ends: dict[str, Counter] = {k: Counter() for k in self.n}
+
+    def add(self, answer: str) -> None:
+        toks = _tokens(answer)
+        if toks and not is_closed(answer):
+            toks = toks[:-1]  # whether this one is an end is the question
+        prev = ""
+        for w, end in toks:
+            for kind, c in (("word", w), ("pair", f"{prev} {w}")):
+                self.n[kind][c] += 1
+                if end:
+                    self.ends[kind][c] += 1
+            prev = "" if end else w
+
+    def rows(self) -> pa.RecordBatch:
+        """(kind, context, n, ends) of all, which are forgotten."""
+        for w, n in self.n["word"].items():
+            ends = self.ends["word"][w]
+            for kind, c in (("suffix", _suffix(w)), ("all", "")):
+                self.n[kind][c] += n
+                self.ends[kind][c] += ends
+            for i in range(1, len(w) + 1):
+                self.n["chars"][_suffix(w[:i])] += n
+            self.ends["chars"][_suffix(w)] += n
+        flat = [(k, c, n, self.ends[k][c]) for k, found in self.n.items() for c, n in found.items()]
+        self.__init__()
+        kind, c, n, ends = zip(*flat) if flat else ((),) * 4
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.string()), "context": pa.array(c, pa.string()), "n": pa.array(n, pa.int64()), "ends": pa.array(ends, pa.int64())})
+
+
+def end_likelihood(c: dict) -> Column:
+    """Likelihood of an end from columns (n, ends) by kind, each context backed off to the shorter one: pair, word, characters, all."""
+    n, e = (lambda k: F.coalesce(c[k][0], F.lit(0))), (lambda k: F.coalesce(c[k][1], F.lit(0)))
+    smooth = lambda k, shorter: (e(k) + BACK_OFF * shorter) / (n(k) + BACK_OFF)
+    unseen = smooth("suffix", e("all") / F.greatest(n("all"), F.lit(1))) * smooth("chars", F.lit(0.1))
+    return smooth("pair", smooth("word", unseen))
 
 
 def defective_pairs(answers: DataFrame, documents: DataFrame, key: str = "answer_id") -> DataFrame:
     """(key, defect) for each answer with a defect: empty, truncated, refusal, copy or language.
 
-    Needs the columns question, answer and kind. Null and blank answers are empty. A null question can
-    be neither copied nor of another language; only kind 'answerable' makes a refusal a defect. Tests go
-    in the order empty, copy, refusal, language, truncated, and the first that holds is given. Repeated
-    rows count once (of several answers under one key, the least). Null keys are left out.
+    Needs the columns question, answer, kind and abstained. Null and blank answers are empty. A null
+    question can be neither copied nor of another language; only kind 'answerable' makes a refusal a
+    defect. Tests go in the order empty, copy, refusal, language, truncated, and the first that holds is
+    given. Repeated rows count once (of several answers under one key, the least). Null keys are left out.
     """
     spark = answers.sparkSession
-    rows = answers.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.struct("question", "answer", "kind")).alias("r")).select("key", "r.*")
+    rows = answers.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.struct("question", "answer", "kind", "abstained")).alias("r")).select("key", "r.*")
     rows = materialize(rows, "answers")
-    model = spark.sparkContext.broadcast(fit_languages(documents))
+    model = spark.sparkContext.broadcast((fit_languages(documents), fit_refusals(rows)))
+    key_type = _arrow_of(answers, key)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = model.value
+        """One pass: defects and open ends of answers, and counts of ends."""
+        languages, refusals = model.value
+        counts = EndCounts()
+
+        def counted() -> pa.RecordBatch:
+            got = counts.rows()
+            none = lambda t: pa.nulls(got.num_rows, t)
+            return pa.RecordBatch.from_pydict({"key": none(key_type), "defect": none(pa.string()), "last": none(pa.string()), "before": none(pa.string())} | {c: got[c] for c in ("kind", "context", "n", "ends")})
+
         for b in batches:
-            out = [judge_pair(q, a, k, langs) for q, a, k in zip(b["question"].to_pylist(), b["answer"].to_pylist(), b["kind"].to_pylist())]
+            out = []
+            for q, a, k in zip(b["question"].to_pylist(), b["answer"].to_pylist(), b["kind"].to_pylist()):
+                out.append(judge_pair(q, a, k, languages, refusals))
+                if a:
+                    counts.add(a)
             keep = [i for i, x in enumerate(out) if x]
-            yield pa.RecordBatch.from_pydict({"key": b["key"].take(pa.array(keep, pa.int64())), "defect": pa.array([out[i][0] for i in keep], pa.string()), "pair": pa.array([out[i][1] for i in keep], pa.string()), "word": pa.array([out[i][2] for i in keep], pa.string())})
-
-    judged = materialize(rows.select("key", "question", "answer", "kind").mapInArrow(judge, f"key {dict(answers.dtypes)[key]}, defect string, pair string, word string"), "judged")
-    ends = materialize(end_counts(rows, "answer"), "ends")
-    pair = ends.select(F.col("context").alias("pair"), F.col("n").alias("pn"), F.col("ends").alias("pe"))
-    word = ends.select(F.col("context").alias("word"), F.col("n").alias("wn"), F.col("ends").alias("we"))
-    at_end = judged.where("defect is null").join(pair, "pair", "left").join(word, "word", "left")
-    share = (
-        F.when(F.col("pn") >= END_SEEN, F.col("pe") / F.col("pn"))
-        .when(F.col("wn") >= END_SEEN, F.col("we") / F.col("wn"))
-        .otherwise(F.lit(0.0))
-    )
-    cut = at_end.where(share < END_SHARE).select("key", F.lit("truncated").alias("defect"))
-    return judged.where("defect is not null").select("key", "defect").union(cut).withColumnRenamed("key", key)
-
-
-def judge_pair(question: str | None, answer: str | None, kind: str | None, langs: Languages) -> tuple[str | None, str | None, str | None] | None:
-    """(defect, None, None); or (None, last pair, last word) if the end must be looked up; or None."""
+            none = lambda t: pa.nulls(len(keep), t)
+            one = lambda j: pa.array([out[i][j] for i in keep], pa.string())
+            yield pa.RecordBatch.from_pydict({"key": b["key"].take(pa.array(keep, pa.int64())), "defect": one(0), "before": one(1), "last": one(2), "kind": none(pa.string()), "context": none(pa.string()), "n": none(pa.int64()), "ends": none(pa.int64())}).select(["key", "defect", "last", "before", "kind", "context", "n", "ends"])
+            if len(counts.n["pair"]) > 300_000:
+                yield counted()
+        yield counted()
+
+    kind = dict(answers.dtypes)[key]
+    judged = materialize(rows.select("key", "question", "answer", "kind").mapInArrow(judge, f"key {kind}, defect string, last string, before string, kind string, context string, n long, ends long"), "judged")
+    suffix = F.substring(F.concat(F.lit("^"), "last"), -3, 3)
+    asked = {"pair": F.concat_ws(" ", "before", "last"), "word": F.col("last"), "suffix": suffix, "chars": suffix, "all": F.lit("")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("context")) for k, c in asked.items()]))
+    open_ends = materialize(judged.where("kind is null and defect is null").select("key", each.alias("c")).select("key", "c.kind", "c.context"), "open")
+    # only contexts that some open answer asks for are added up
+    ends = judged.where("kind is not null").join(open_ends.select("kind", "context").distinct(), ["kind", "context"], "left_semi").groupBy("kind", "context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    found = open_ends.join(ends, ["kind", "context"]).groupBy("key").agg(*[F.max(F.when(F.col("kind") == k, F.col(x))).alias(f"{k}_{x}") for k in asked for x in ("n", "ends")])
+    likely = end_likelihood({k: (F.col(f"{k}_n"), F.col(f"{k}_ends")) for k in asked})
+    cut = found.where(likely < END_SHARE * F.col("all_ends") / F.greatest(F.col("all_n"), F.lit(1))).select("key", F.lit("truncated").alias("defect"))
+    # an answer with nothing to compare it with ends as it ends
+    return judged.where("kind is null and defect is not null").select("key", "defect").union(cut).withColumnRenamed("key", key)
+
+
+def _arrow_of(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def judge_pair(question: str | None, answer: str | None, kind: str | None, languages: Languages, refusals: Refusals) -> tuple[str | None, str | None, str | None] | None:
+    """(defect, None, None); or (None, word before the last, last word) if the end must be looked up; or None."""
     a, q = clean(answer), clean(question)
     if is_empty(a):
         return "empty", None, None
@@ -328,12 +424,9 @@ def judge_pair(question: str | None, answer: str | None, kind: str | None, langs
     rest = without_question(a, q)
     if is_empty(rest) or q and is_copy(rest, q):
         return "copy", None, None
-    declined = is_refusal(rest)
-    if declined and kind == "answerable":
-        return "refusal", None, None
-    if declined:
-        return None
-    if q and langs.differ(q, rest):
+    if refusals.declines(q, rest):
+        return ("refusal", None, None) if kind == "answerable" else None
+    if q and languages.differ(q, rest):
         return "language", None, None
     if is_closed(a):
         return None
@@ -344,6 +437,4 @@ def judge_pair(question: str | None, answer: str | None, kind: str | None, langs
     toks = _tokens(a)
     if not toks:
         return None
-    w = toks[-1][0]
-    prev = toks[-2][0] if len(toks) > 1 and not toks[-2][1] else ""
-    return None, f"{prev} {w}", w
+    return None, toks[-2][0] if len(toks) > 1 and not toks[-2][1] else "", toks[-1][0]

@@ -27,14 +27,14 @@ CASES = [
 def test_cases(spark):
     rows = [(i, q, a, k) for i, (q, a, k, _) in enumerate(CASES)] + [(100 + i, *g) for i in range(20) for g in GOOD[i % 2 : i % 2 + 1]] + [(0, *CASES[0][:3]), (None, "a", "b", "answerable")]
     rows += [(200 + i, "Where?", "The list which is read at startup is kept, which means it is read at startup [1].", "answerable") for i in range(5)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "answer_id long, question string, answer string, kind string, key string")
+    df = spark.createDataFrame([(*r, None, "clash") for r in rows], "answer_id long, question string, answer string, kind string, abstained boolean, key string")
     got = {r["answer_id"]: r["defect"] for r in P.defective_pairs(df, docs(spark)).collect()}
     assert {i: got.get(i) for i in range(len(CASES))} == {i: d for i, (*_, d) in enumerate(CASES)}
     assert not any(k >= 100 for k in got)
 
 
 def test_empty(spark):
-    a = spark.createDataFrame([], "answer_id long, question string, answer string, kind string")
+    a = spark.createDataFrame([], "answer_id long, question string, answer string, kind string, abstained boolean")
     assert P.defective_pairs(a, docs(spark)).collect() == [] and P.defective_pairs(a, docs(spark).where("false")).collect() == []
 
 
@@ -48,3 +48,28 @@ def test_held_out_languages(spark):
 @pytest.mark.parametrize("text,cut", [("a (b", True), ("a “b", True), ("a “b”", False), ("end,", True), ("done", False), ("x `--", True)])
 def test_open_ends(text, cut):
     assert P.breaks_off_openly(text) is cut
+
+
+def test_refusals_are_learnt_from_the_record(spark):
+    """A way of declining that no ideal refusal has, recorded as abstained with one mistake in ten."""
+    rows = [(i, f"What does tool{i} do?", f"Tool{i} stays a riddle to these pages.", i % 10 != 0) for i in range(200)]
+    rows += [(1000 + i, f"What does tool{i} do?", f"Tool{i} sorts the pages it is given.", i % 10 == 0) for i in range(200)]
+    got = P.fit_refusals(spark.createDataFrame(rows, "key long, question string, answer string, abstained boolean"), 100)
+    assert got.declines("What does x9 do?", "x9 stays a riddle to these pages.") and not got.declines("What does x9 do?", "x9 sorts the pages it is given.")
+    assert not got.declines("What does x9 do?", "x9 stays a riddle to these pages. x9 sorts the pages it is given.") and not got.declines("", "")
+
+
+def test_more_languages_than_sixteen(spark):
+    rows = [(i, EN[i % 3] if i % 20 else FR[i % 3], "en" if i % 20 else "fr") for i in range(60)] + [(1000 + i, "zz qq " * 9, chr(97 + i) + "x") for i in range(20)]
+    assert len(P.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).names) == 22
+
+
+def test_smoothed_ends():
+    c = P.EndCounts()
+    for _ in range(50):
+        c.add("The tool reads the folder. It then writes the folder.")
+        c.add("It keeps what it reads of the folder in the cache.")
+    rows = c.rows().to_pylist()
+    at = {(r["kind"], r["context"]): (r["n"], r["ends"]) for r in rows}
+    assert at["word", "folder"] == (150, 100) and at["pair", "the folder"] == (150, 100) and at["all", ""] == (50 * 21, 150) and at["chars", "^fo"] == (150, 0) and at["chars", "der"] == (150, 150)
+    assert not c.n["word"]
