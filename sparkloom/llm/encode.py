@@ -2,9 +2,9 @@
 
 A word is a run of characters that are not white space, with one blank before it, or a run of white
 space: no pre-token of the vocabulary's pattern crosses such a border, so the ids of a text are those of
-its words one after the other. Documents are dealt to blocks; the distinct words of each block travel
-to the word's partition, are encoded there once, and travel back to the block, which puts the ids
-together by position.
+its words one after the other. Documents are dealt to blocks of a size in characters, each about one
+partition; the distinct words of each block travel to the word's partition, are encoded there once, and
+travel back to the block, which puts the ids together by position.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import parts
-
 #: Vocabulary file (ranks of byte strings). A parameter of every operator; never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-token pattern of this vocabulary.
@@ -44,15 +42,15 @@ def encoder(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def blocks(df: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, key, text): rows dealt by hash of their key to blocks of about ``chars`` characters."""
+def blocks(df: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """((block, key, text), number of blocks): rows dealt by hash of their key to blocks of about ``chars`` characters, in as many partitions as blocks, so that tasks stay of one size on any input."""
     total = df.agg(F.sum(F.length(text))).first()[0] or 0
     n = max(1, -(-total // chars))
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
-    return out.repartition(min(n, max(parts(df.sparkSession), 1)), "block")
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *extra).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    return out.repartition(n, "block"), n
 
 
-def encoded_words(dealt: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def encoded_words(dealt: DataFrame, n: int, vocabulary: str = VOCABULARY) -> DataFrame:
     """(block, word, ids): the distinct words of each block with their ids as packed 32-bit integers."""
 
     def distinct(group: pa.Table) -> pa.Table:
@@ -77,17 +75,17 @@ def encoded_words(dealt: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"block": b["block"], "word": b["word"], "ids": pa.array(out, pa.binary())})
 
     words = dealt.groupBy("block").applyInArrow(distinct, "block int, word string")
-    return words.repartition(parts(dealt.sparkSession), "word").mapInArrow(encode, "block int, word string, ids binary")
+    return words.repartition(n, "word").mapInArrow(encode, "block int, word string, ids binary")
 
 
-def with_words(df: DataFrame, key: str, text: str, assemble: Callable[[pa.Table, dict[str, bytes]], pa.Table], schema: str, vocabulary: str = VOCABULARY, chars: int = BLOCK_CHARS) -> DataFrame:
+def with_words(df: DataFrame, key: str, text: str, assemble: Callable[[pa.Table, dict[str, bytes]], pa.Table], schema: str, vocabulary: str = VOCABULARY, chars: int = BLOCK_CHARS, extra: tuple[str, ...] = ()) -> DataFrame:
     """``assemble(rows of a block, ids of its words)`` for each block. The shuffled documents are read twice, not shuffled twice."""
-    dealt = blocks(df, key, text, chars)
+    dealt, n = blocks(df, key, text, chars, extra)
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         return assemble(docs, dict(zip(words["word"].to_pylist(), words["ids"].to_pylist())))
 
-    return dealt.groupBy("block").cogroup(encoded_words(dealt, vocabulary).groupBy("block")).applyInArrow(run, schema)
+    return dealt.groupBy("block").cogroup(encoded_words(dealt, n, vocabulary).groupBy("block")).applyInArrow(run, schema)
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity: vector bin packing by the dot-product heuristic, block by block.
 
-Containers have limits on tokens, segments and loss-bearing tokens (all tokens of a segment but its
-first, which nothing predicts). A container is filled by taking, of the items that still fit, the one
+Containers have limits on tokens, segments and loss-bearing tokens: of an instruction pair the tokens of
+its answer, of a plain document all but the first, which nothing predicts. A container is filled by taking, of the items that still fit, the one
 with the largest dot product of its demands with the remaining capacities, each weighted by how scarce
 the dimension is in the block; items of one size are alike. Blocks are packed where their texts are
 encoded, so texts are not moved again; each block leaves at most its last containers partly empty.
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import trimmed
 from sparkloom.llm.encode import VOCABULARY, encoder, with_words, words_of
 
 CAPACITY = 2048
@@ -25,18 +26,22 @@ PACK_CHARS = 4_000_000
 SCHEMA = "container string, place int, {key} {kind}, piece int, first_token int, n_tokens int, text string"
 
 
-def fill(sizes: list[int], capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None) -> list[list[int]]:
-    """Containers as lists of item numbers. An item of ``n`` tokens demands (n, 1, max(n - 1, 0)) of (capacity, segments, loss)."""
+def fill(sizes: list[int], capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None, bearing: list[int] | None = None) -> list[list[int]]:
+    """Containers as lists of item numbers. An item of ``n`` tokens, of which ``bearing`` (all but one if not given) bear loss, demands (n, 1, bearing) of (capacity, segments, loss).
+
+    Without a limit ``loss`` it is the capacity, which plain documents always keep.
+    """
     limit = np.array([capacity, segments, capacity if loss is None else loss], float)
-    by_size: dict[int, list[int]] = {}
+    bearing = bearing or [max(n - 1, 0) for n in sizes]
+    by_size: dict[tuple[int, int], list[int]] = {}
     for i in range(len(sizes) - 1, -1, -1):
-        by_size.setdefault(sizes[i], []).append(i)
-    kinds = np.array(sorted(by_size, reverse=True))
+        by_size.setdefault((sizes[i], bearing[i]), []).append(i)
+    kinds = sorted(by_size, reverse=True)
     left = np.array([len(by_size[k]) for k in kinds])
-    demand = np.stack([kinds, np.ones(len(kinds)), np.maximum(kinds - 1, 0)], 1).astype(float) / limit
-    if len(kinds) and (demand > 1).any():
+    demand = np.array([(n, 1, b) for n, b in kinds], float).reshape(len(kinds), 3) / limit
+    if (demand > 1).any():
         raise ValueError("an item exceeds a container")
-    weight = (demand * left[:, None]).sum(0) if len(kinds) else np.ones(3)
+    weight = (demand * left[:, None]).sum(0)
     out: list[list[int]] = []
     open_kinds = np.flatnonzero(left)
     while len(open_kinds):
@@ -47,7 +52,7 @@ def fill(sizes: list[int], capacity: int = CAPACITY, segments: int = SEGMENTS, l
             if not len(live):
                 break
             k = live[np.argmax(demand[live] @ (weight * rest))]
-            mine.append(by_size[int(kinds[k])].pop())
+            mine.append(by_size[kinds[k]].pop())
             left[k] -= 1
             rest -= demand[k]
         out.append(mine)
@@ -106,6 +111,43 @@ def pack_corpus(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, se
     return with_words(df, key, text, run, SCHEMA.format(key=key, kind=kind), vocabulary, chars)
 
 
+def pack_pairs(df: DataFrame, key: str, prompt: str, answer: str, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = CAPACITY // 2, vocabulary: str = VOCABULARY, chars: int = PACK_CHARS) -> DataFrame:
+    """One row for each prompt and answer pair: container, place, key, n_tokens, n_loss, text.
+
+    text is the trimmed prompt, a line end and the trimmed answer; the tokens of the answer bear loss, and
+    a container holds at most ``loss`` of them beside its limits on tokens and segments. A null part is
+    empty. A pair beyond a limit can't be packed whole: it has a null container and place. Every row of
+    ``df`` comes out.
+    """
+    kind = dict(df.dtypes)[key]
+    side = lambda c: F.coalesce(trimmed(c), F.lit(""))
+    pairs = df.select(F.col(key), F.concat(side(prompt), F.lit("\n"), side(answer)).alias("text"), (F.length(side(prompt)) + 1).alias("border"))
+
+    def run(docs: pa.Table, known: dict[str, bytes]) -> pa.Table:
+        n_of = {w: len(b) // 4 for w, b in known.items()}
+        sizes, bearing = [], []
+        for t, border in zip(docs["text"].to_pylist(), docs["border"].to_pylist()):
+            n = b = at = 0
+            for w in words_of(t):
+                n += n_of[w]
+                b += n_of[w] if at >= border else 0
+                at += len(w)
+            sizes.append(n)
+            bearing.append(b)
+        fit = [i for i in range(len(sizes)) if sizes[i] <= capacity and bearing[i] <= loss]
+        place: list[tuple[str | None, int | None]] = [(None, None)] * len(sizes)
+        block = docs["block"][0].as_py() if docs.num_rows else 0
+        for c, items in enumerate(fill([sizes[i] for i in fit], capacity, segments, loss, [bearing[i] for i in fit])):
+            for p, i in enumerate(items):
+                place[fit[i]] = (f"{block}-{c}", p)
+        return pa.table({
+            "container": pa.array([c for c, _ in place], pa.string()), "place": pa.array([p for _, p in place], pa.int32()), key: docs["key"],
+            "n_tokens": pa.array(sizes, pa.int32()), "n_loss": pa.array(bearing, pa.int32()), "text": docs["text"],
+        })
+
+    return with_words(pairs, key, "text", run, f"container string, place int, {key} {kind}, n_tokens int, n_loss int, text string", vocabulary, chars, ("border",))
+
+
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers, tokens, the least number of containers that could hold them, and the share of space unused."""
     one = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"))

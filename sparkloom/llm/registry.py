@@ -99,6 +99,12 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.container_fill(p9_containers(spark, d))
 
 
+def p9_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every container of question and answer pairs, with its limit on the tokens of answers."""
+    rows = table(spark, d, "p9probe_ctx4b_answers").where("answer_id is not null").groupBy("answer_id").agg(F.min(F.struct("question", "answer")).alias("r")).select("answer_id", "r.*")
+    return pack.pack_pairs(rows, "answer_id", "question", "answer")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Each document that is not mainly prose, with its form."""
     return p10_stats(spark, d).where("form <> 'prose'").select("doc_id", "form").distinct()
@@ -110,7 +116,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans, p7_found, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_stats)}
+    return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans, p7_found, p8_ids, p8_roundtrip, p9_containers, p9_fill, p9_pairs, p10_found, p10_stats)}
 
 
 SQL: dict[str, str] = {}

@@ -66,3 +66,18 @@ def test_containers_hold_every_text(spark):
     n = {i: len(E.encoder().encode_ordinary(t)) if t else 0 for i, t in enumerate(ts)}
     assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == n
     assert set(got[got["piece"] > 0]["doc_id"]) == {i for i, k in n.items() if k > 256}
+
+
+def test_instruction_pairs_keep_three_limits(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join("what" for _ in range(r.randrange(0, 40))), " ".join("word" for _ in range(r.randrange(0, 60)))) for i in range(300)] + [(900, None, None), (901, "q", "a " * 200), (902, " q ", None)]
+    got = K.pack_pairs(spark.createDataFrame([(*x, "clash") for x in rows], "id long, q string, a string, block string"), "id", "q", "a", capacity=120, segments=4, loss=70).toPandas().set_index("id")
+    enc = E.encoder().encode_ordinary
+    assert len(got) == len(rows) and got["container"].isna().sum() == 1 and got.loc[901, "place"] != got.loc[901, "place"]
+    for i, q, a in rows:
+        q, a = (q or "").strip(), (a or "").strip()
+        assert (got.loc[i, "n_tokens"], got.loc[i, "n_loss"], got.loc[i, "text"]) == (len(enc(q + "\n" + a)), len(enc(a)), q + "\n" + a)
+    one = got.groupby("container").agg(n=("n_tokens", "sum"), loss=("n_loss", "sum"), k=("text", "count"))
+    assert one["n"].max() <= 120 and one["loss"].max() <= 70 and one["k"].max() <= 4
+    # each of the limits binds somewhere
+    assert (one["loss"] > 60).any() and (one["k"] == 4).any() and (one["n"] > 110).any()
