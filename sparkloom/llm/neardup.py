@@ -9,6 +9,7 @@ anchor. Features are ordered by how common they are over the whole collection, r
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
@@ -22,13 +23,15 @@ from sparkloom.functions.text import WordHashes, grams, mix
 from sparkloom.operators.graph import connected_components
 from sparkloom.runtime import materialize, maybe_broadcast, parts
 
-#: Bins of the table of feature frequencies; its size is fixed, whatever the size of the collection.
-BINS_LOG2 = 18
+#: Bins of the table of feature frequencies: at least 2^18, one for some 64 features, at most 2^24 (16 MB of ranks).
+LEAST_BINS_LOG2, MOST_BINS_LOG2, BIN_FEATURES = 18, 24, 64
 _SLICES = 64
 #: Bits of a parity fingerprint, as words of 64.
 FP_WORDS = 2
-#: An anchor held by more records (its bin's count beyond the usual noise of two median bins) is split into a grid of cells of at most so many.
+#: An anchor held by more records is split into a grid of cells of at most so many: before records are sent where its bin's count shows it, else where they arrive, by their true number.
 CELL = 8192
+#: Bytes of fingerprints that one part is made for.
+PART_BYTES = 4 << 20
 #: Copies: records of exactly equal raw content, if more than so many, are given as pairs with the first of them, which stands for all in pairs with other contents.
 COPIES = 64
 #: Members of a block of a class: pairs of members are made by pairs of blocks.
@@ -41,7 +44,10 @@ class Features:
     """Distinct features of a batch: (feature hash, record index) sorted by record, and the records that count."""
 
     def __init__(self, shingle: int | None = None, least: int = 1):
-        self.shingle, self.least, self.hashes = shingle, least, WordHashes()
+        self.shingle, self.least, self.hashes, self.bins_log2 = shingle, least, WordHashes(), LEAST_BINS_LOG2
+
+    def bin(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bins_log2)).astype(np.int64)
 
     def raw(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
         if self.shingle:
@@ -64,7 +70,7 @@ class Features:
             order = np.lexsort((h, rec))
         else:
             # rank in the top byte of the sort key, then the feature; equal features stay adjacent
-            key = (rank[h >> np.uint64(64 - BINS_LOG2)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+            key = (rank[self.bin(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
             order = np.lexsort((h, key, rec))
         h, rec = h[order], rec[order]
         if len(h):
@@ -86,32 +92,39 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+def bins_for(df: DataFrame, column: str) -> int:
+    """Binary logarithm of the number of bins that suits a table's features, by its characters or array entries."""
+    size = F.length(column) / 6 if dict(df.dtypes)[column] == "string" else F.size(column)
+    n = df.agg(F.sum(size.cast("double"))).first()[0] or 0
+    return min(MOST_BINS_LOG2, max(LEAST_BINS_LOG2, math.ceil(math.log2(max(1.0, n / BIN_FEATURES)))))
+
+
 def commonness(df: DataFrame, column: str, make: Callable[[], Features]) -> np.ndarray:
-    """A byte for each of 2^18 bins of features: the binary logarithm, in quarters, of the bin's number of occurrences.
+    """The number of occurrences in each bin of features.
 
     Counts all features of all records. Tasks send their bins compressed in 64 slices, which are
-    added up before they come to the driver: 2 MB, whatever the input.
+    added up before they come to the driver: 2 MB, for 2^24 bins 128 MB.
     """
-    width = (1 << BINS_LOG2) // _SLICES
+    bins = 1 << make().bins_log2
+    width = bins // _SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total = make(), np.zeros(1 << BINS_LOG2, np.int64)
+        features, total = make(), np.zeros(bins, np.int64)
         for t in _joined(batches):
             h, _, _ = features.raw(t[column].combine_chunks() if t[column].num_chunks != 1 else t[column].chunk(0))
-            total += np.bincount((h >> np.uint64(64 - BINS_LOG2)).astype(np.int64), minlength=1 << BINS_LOG2)
+            total += np.bincount(features.bin(h), minlength=bins)
         if total.any():
-            small = total if total.max() > 65535 else total.astype(np.uint16)
-            blobs = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in small.reshape(_SLICES, width)]
+            blobs = [zlib.compress(x.tobytes(), 1) for x in total.reshape(_SLICES, width)]
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def add(pdf):
         total = sum(np.frombuffer(zlib.decompress(b), np.int64) for b in pdf["blob"])
-        return pdf.iloc[:1].assign(blob=[total.tobytes()])
+        return pdf.iloc[:1].assign(blob=[zlib.compress(total.tobytes(), 1)])
 
-    rows = df.select(column).mapInArrow(count, "slice int, blob binary").groupBy("slice").applyInPandas(add, "slice int, blob binary").collect()
+    rows = df.select(column).mapInArrow(count, "slice int, blob binary").groupBy("slice").applyInPandas(add, "slice int, blob binary").toLocalIterator()
     total = np.zeros((_SLICES, width), np.int64)
     for r in rows:
-        total[r["slice"]] = np.frombuffer(r["blob"], np.int64)
+        total[r["slice"]] = np.frombuffer(zlib.decompress(r["blob"]), np.int64)
     return total.reshape(-1)
 
 
@@ -134,14 +147,57 @@ def _set_ids(h: np.ndarray, rec: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def _placed(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct entries by bucket and id, and where buckets start (and the end)."""
+    if not len(entries):
+        return entries, np.zeros(1, np.int64)
+    entries = entries[np.lexsort((entries["id"], entries["side"], entries["bucket"]))]
+    same = np.r_[False, (entries["bucket"][1:] == entries["bucket"][:-1]) & (entries["id"][1:] == entries["id"][:-1])]
+    entries = entries[~same]
+    return entries, np.flatnonzero(np.r_[True, entries["bucket"][1:] != entries["bucket"][:-1], True])
+
+
+def split_hot(entries: np.ndarray, n_parts: int, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries of buckets of at most 2 ``cell``; the others again, each in all cells of its bucket's grid; their new parts)."""
+    entries, bounds = _placed(entries)
+    lens = np.diff(bounds)
+    size = np.repeat(lens, lens)
+    hot = entries[size > 2 * cell]
+    if not len(hot):
+        return entries, hot, np.empty(0, np.int64)
+    cells = -(-size[size > 2 * cell] // cell)
+    mine = (mix(hot["id"].astype(np.uint64) + np.uint64(3)) % cells.astype(np.uint64)).astype(np.int64)
+    take = np.repeat(np.arange(len(hot)), cells)
+    other = np.arange(len(take)) - np.repeat(np.cumsum(cells) - cells, cells)
+    mine, side = mine[take], hot["side"][take].astype(np.int64)
+    # one group: all pairs of cells; two groups: every cell of one with every cell of the other
+    lo = np.where(side == 2, np.minimum(mine, other), np.where(side == 0, mine, other))
+    hi = np.where(side == 2, np.maximum(mine, other), np.where(side == 0, other, mine))
+    out = hot[take].copy()
+    out["side"] = np.where(side != 2, side, np.where(lo == hi, 2, np.where(mine == lo, 0, 1)))
+    with np.errstate(over="ignore"):
+        where = mix((out["bucket"].astype(np.uint64) << np.uint64(20)) + (lo * 65536 + hi).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(11))
+    out["bucket"] = (where & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return entries[size <= 2 * cell], out, ((where >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _blobs(part: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """(part, blob, cls, key, txt): the entries of each part as one blob; the rest is null."""
+    order = np.argsort(part, kind="stable")
+    part, entries = part[order], entries[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+    blobs = [x.tobytes() for x in np.split(entries, cut[1:])] if len(cut) else []
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array(part[cut], pa.int32()), "blob": pa.array(blobs, pa.binary()),
+        "cls": pa.nulls(len(cut), pa.int64()), "key": pa.nulls(len(cut), pa.string()), "txt": pa.nulls(len(cut), pa.int64()),
+    })
+
+
 def _pairs_of_part(entries: np.ndarray, t: Fraction) -> np.ndarray:
     """Distinct pairs (smaller id, larger id) within the buckets whose sizes and fingerprints allow a similarity of t."""
     if not len(entries):
         return np.empty((0, 2), np.uint64)
-    entries = entries[np.lexsort((entries["id"], entries["bucket"]))]
-    same = np.r_[False, (entries["bucket"][1:] == entries["bucket"][:-1]) & (entries["id"][1:] == entries["id"][:-1])]
-    entries = entries[~same]
-    bounds = np.flatnonzero(np.r_[True, entries["bucket"][1:] != entries["bucket"][:-1], True])
+    entries, bounds = _placed(entries)
     lens = np.diff(bounds)
     # position of each entry within its bucket; each is compared with those d places on
     first = np.repeat(bounds[:-1], lens)
@@ -176,11 +232,20 @@ def similar_sets(df: DataFrame, key: str, column: str, make: Callable[[], Featur
     split into cells, so that no task compares more than two groups of records at a time.
     """
     spark = df.sparkSession
+    plain, log2 = make, bins_for(df, column)
+
+    def make() -> Features:
+        out = plain()
+        out.bins_log2 = log2
+        return out
+
     total = commonness(df, column, make)
     beyond = np.maximum(total - 2 * int(np.median(total)), 0)
     shared = spark.sparkContext.broadcast((_rank(total), np.minimum(-(-beyond // CELL), 60_000).astype(np.uint16)))
-    # more parts than partitions, since parts fall on partitions by hash
-    n_parts = 4 * max(parts(spark), 4)
+    # some (1 - t) of a record's features are anchors, and one more; parts follow from their bytes
+    sent_bytes = ENTRY.itemsize * (float(total.sum()) * float(1 - t) + df.count())
+    n_parts = max(parts(spark), math.ceil(sent_bytes / PART_BYTES))
+    cell = CELL
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = make()
@@ -210,7 +275,7 @@ def similar_sets(df: DataFrame, key: str, column: str, make: Callable[[], Featur
             many = size + 1 + (-size * t.numerator) // t.denominator  # |x| - ceil(t |x|) + 1
             keep = fresh[rec] & (place < many[rec])
             ah, ar = h[keep], rec[keep]
-            cells = grid[ah >> np.uint64(64 - BINS_LOG2)].astype(np.int64)
+            cells = grid[features.bin(ah)].astype(np.int64)
             mine = (ids[ar] >> np.uint64(20)).astype(np.int64) % np.maximum(cells, 1)
             rep = np.maximum(cells, 1)
             take = np.repeat(np.arange(len(ah)), rep)
@@ -223,32 +288,38 @@ def similar_sets(df: DataFrame, key: str, column: str, make: Callable[[], Featur
             entries["bucket"], entries["side"] = (where & np.uint64(0xFFFFFFFF)).astype(np.uint32), side
             entries["id"], entries["fp"], entries["size"] = ids[ar][take], fps[ar][take], size[ar][take]
             part = ((where >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, entries = part[order], entries[order]
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-            blobs = [x.tobytes() for x in np.split(entries, cut[1:])] if len(cut) else []
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(part[cut], pa.int32()), "blob": pa.array(blobs, pa.binary()),
-                "cls": pa.nulls(len(cut), pa.int64()), "key": pa.nulls(len(cut), pa.string()), "txt": pa.nulls(len(cut), pa.int64()),
-            })
+            yield _blobs(part, entries)
 
-    def compare(group: pa.Table) -> pa.Table:
+    def within(group: pa.Table, last: bool) -> pa.Table:
         blobs = [b for b in group["blob"].to_pylist() if b is not None]
-        pairs = _pairs_of_part(np.frombuffer(b"".join(blobs), ENTRY), t).view(np.int64)
+        calm, hot, where = np.frombuffer(b"".join(blobs), ENTRY), np.empty(0, ENTRY), np.empty(0, np.int64)
+        if not last:
+            calm, hot, where = split_hot(calm, n_parts, cell)
+        pairs = _pairs_of_part(calm, t).view(np.int64)
         kept = group.filter(pa.compute.is_valid(group["cls"]))
+        more = _blobs(where, hot)
+        none = lambda n, t: pa.nulls(n, t)
+        n, m, k = len(pairs), len(kept), more.num_rows
         return pa.table({
-            "a": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), kept["cls"].combine_chunks().cast(pa.int64()) if len(kept) else pa.array([], pa.int64())]),
-            "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(kept), pa.int64())]),
-            "key": pa.concat_arrays([pa.nulls(len(pairs), pa.string()), pa.array(kept["key"].to_pylist(), pa.string())]),
-            "txt": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(kept["txt"].to_numpy(), pa.int64())]),
+            "a": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(kept["cls"].to_numpy(), pa.int64()), none(k, pa.int64())]), "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none(m + k, pa.int64())]),
+            "key": pa.concat_arrays([none(n, pa.string()), pa.array(kept["key"].to_pylist(), pa.string()), none(k, pa.string())]), "txt": pa.concat_arrays([none(n, pa.int64()), pa.array(kept["txt"].to_numpy(), pa.int64()), none(k, pa.int64())]),
+            "part": pa.concat_arrays([none(n + m, pa.int32()), more["part"]]), "blob": pa.concat_arrays([none(n + m, pa.binary()), more["blob"]]),
         })
 
+    def compare(group: pa.Table) -> pa.Table:
+        return within(group, False)
+
+    def compare_cells(group: pa.Table) -> pa.Table:
+        return within(group, True).select(["a", "b"])
+
     raw = F.xxhash64(F.col(column) if dict(df.dtypes)[column] == "string" else F.to_json(column))
     sent = df.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("string").alias(key), column, raw.alias("txt"))
-    got = sent.mapInArrow(route, "part int, blob binary, cls long, key string, txt long").groupBy("part").applyInArrow(compare, "a long, b long, key string, txt long")
+    got = sent.mapInArrow(route, "part int, blob binary, cls long, key string, txt long").repartition(n_parts, "part").groupBy("part").applyInArrow(compare, "a long, b long, key string, txt long, part int, blob binary")
     got = materialize(got, "similar")
+    hot = got.where("blob is not null").select("part", "blob", F.lit(None).cast("long").alias("cls"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("txt"))
+    found = got.where("b is not null").select("a", "b").union(hot.groupBy("part").applyInArrow(compare_cells, "a long, b long"))
     one = F.when(F.min("txt") == F.max("txt"), F.min("txt")).otherwise(F.xxhash64("key"))
-    return got.where("b is not null").select("a", "b").distinct(), got.where("b is null").groupBy(F.col("a").alias("cls"), "key").agg(one.alias("txt"))
+    return found.distinct(), got.where("b is null and a is not null").groupBy(F.col("a").alias("cls"), "key").agg(one.alias("txt"))
 
 
 def similar_classes(df: DataFrame, key: str, column: str, make: Callable[[], Features], t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -260,7 +331,16 @@ def similar_classes(df: DataFrame, key: str, column: str, make: Callable[[], Fea
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     reps = materialize(asked.join(classes, "cls").select("cls", F.col("first").alias("key")), "reps")
     text = df.select(F.col(key).cast("string").alias("key"), F.col(column).alias("x")).join(maybe_broadcast(reps, 96), "key")
-    # repeats of a key have one content; a key with several keeps each that forms the class, which is checked below
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a key with several contents those that form the class."""
+        features = make()
+        for tab in _joined(batches, 4000):
+            h, rec, size = features.sets(tab["x"].combine_chunks() if tab["x"].num_chunks != 1 else tab["x"].chunk(0))
+            ok = _set_ids(h, rec, len(size)).view(np.int64) == tab["cls"].to_numpy()
+            yield from tab.filter(pa.array(ok)).to_batches()
+
+    text = text.select("cls", "x").mapInArrow(own, f"cls long, x {dict(df.dtypes)[column]}")
     text = materialize(text.dropDuplicates(["cls"]), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

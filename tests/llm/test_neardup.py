@@ -58,6 +58,25 @@ def test_cells_of_hot_anchors_lose_nothing(spark, monkeypatch):
     assert whole == {tuple(r) for r in N.near_duplicate_chunks(frame(spark, ts)).collect()} and len(whole) == 41 * 40 // 2
 
 
+def test_splitting_by_true_numbers_loses_no_pair():
+    """Entries of large buckets, of one group and of two, meet in the cells of the grid as they did in the bucket."""
+    r = np.random.default_rng(5)
+    e = np.zeros(400, N.ENTRY)
+    e["bucket"] = np.repeat([5, 6, 7], [100, 180, 120])
+    e["side"] = np.where(e["bucket"] == 6, np.arange(400) % 2, 2)
+    e["id"], e["size"] = r.permutation(400), 10
+    calm, hot, part = N.split_hot(e, 8, 30)
+    assert len(calm) == 0 and len(hot) == len(part) and part.max() < 8
+    t = Fraction(1, 10)
+    whole = {tuple(x) for x in N._pairs_of_part(e, t).tolist()}
+    cells = [N._pairs_of_part(hot[part == p], t) for p in range(8)]
+    assert whole == {tuple(x) for c in cells for x in c.tolist()} and len(whole) == 100 * 99 // 2 + 90 * 90 + 120 * 119 // 2
+    # each pair in one cell, and no cell larger than two groups of some 30
+    assert sum(map(len, cells)) == len(whole) and np.unique(hot["bucket"], return_counts=True)[1].max() < 120
+    calm, hot, _ = N.split_hot(e, 8, 100)
+    assert len(calm) == 400 and not len(hot)
+
+
 def test_copies(spark, monkeypatch):
     t = " ".join(f"x{i}" for i in range(30))
     got = [tuple(r) for r in N.near_duplicate_chunks(frame(spark, [t] * 5)).collect()]
