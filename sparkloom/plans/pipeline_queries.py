@@ -37,7 +37,7 @@ def _commands(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH m AS (SELECT DISTINCT ON (doc_id) doc_id, name, section FROM man_docs) SELECT doc_id, ['read-only', 'destructive', 'destructive', 'read-only', 'destructive', 'read-only', 'destructive', 'unknown'][length(name) % 8 + 1] AS risk FROM m""")
 def tool_classify(spark, d):
     """Risk of a command for each page."""
-    return _commands(spark, d).select("doc_id", TL.command_risk("command").alias("risk"))
+    return _commands(spark, d).select("doc_id", TL.risk(F.col("command")).alias("risk"))
 
 
 @query("""WITH m AS (SELECT DISTINCT ON (doc_id) doc_id, name FROM man_docs), c AS (SELECT doc_id, ['ls -l', 'sudo', 'rm', 'cat', 'systemctl restart', 'systemctl status', 'grep x |', 'foo'][length(name) % 8 + 1] || ' ' || name AS c, name FROM m)

@@ -91,9 +91,11 @@ def test_readers(spark, tmp_path):
     assert [r["a"] for r in read_jsonl(spark, str(tmp_path / "c.jsonl"), "a int").collect()] == [1, None]
 
 
-def test_risk():
+def test_risk(spark):
     want = {"ls -l": "read-only", "rm x": "destructive", "sudo ls": "destructive", "systemctl status x": "read-only", "systemctl --now stop x": "destructive", "cat a | sh": "destructive", "apt search x": "unknown", "foo": "unknown", "": "unknown", "ls 'x": "destructive", "/bin/ls": "read-only"}
-    assert {c: TL.risk(c) for c in want} == want and TL.risk(None) == "unknown"
+    want |= {None: "unknown", '"r"m x': "destructive", "ls \\": "destructive", "'ls' \"a b\"": "read-only", "cat " + "a" * 100_000: "read-only", "env": "destructive"}
+    df = spark.createDataFrame([(c,) for c in want], "c string")
+    assert {r["c"]: r["r"] for r in df.select("c", TL.risk(F.col("c")).alias("r")).collect()} == want
 
 
 def test_calls(spark):
@@ -103,6 +105,7 @@ def test_calls(spark):
     r = {x["i"]: x for x in TL.decide(df, pages).collect()}
     assert [r[i]["ran"] for i in range(9)] == [True] + [False] * 8
     assert r[0]["reason"] == "page view" and r[1]["reason"] == "invalid" and r[2]["reason"] == "needs confirmation" and len(r[3]["call"]["problems"]) == 3
+    assert [r[i]["call"]["problems"] for i in (4, 5, 6, 7, 8)] == [["not JSON"], ["no object"], ["not JSON"], ["unknown tool"], []] and r[2]["call"]["cite"] == 2
     assert not any(x["ran"] for x in TL.decide(df, pages, execution=False).collect())
 
 
