@@ -21,12 +21,12 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, at: str, key: str,
     r = right.where(F.col(value).isNotNull()).select(by, at, F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(kinds[key]).alias(key))
     both = r.unionByName(left.select(by, at, F.lit(1).alias("_side"), F.lit(None).cast(kinds[value]).alias("_v"), key)).where(F.col(by).isNotNull() & F.col(at).isNotNull())
     order = [F.col(by), F.col(at), F.col("_side"), F.col("_v")]
-    cut = materialize(both.repartitionByRange(max(2, min(parts(spark), 2000)), by, at, "_side").withColumn("_part", F.spark_partition_id()), "asof")
+    cut = materialize(both.repartitionByRange(max(2, parts(spark)), by, at, "_side").withColumn("_part", F.spark_partition_id()), "asof")
     mark = F.when(F.col("_side") == 0, F.struct(by, "_v"))
     tails = cut.where("_side = 0").groupBy("_part").agg(F.max_by(F.struct(by, "_v"), F.struct(by, at, "_v")).alias("_t"))
     known = cut.select("_part").distinct().join(tails, "_part", "left")
     w = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = known.select("_part", F.last("_t", ignorenulls=True).over(w).alias("_before"))
     w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    got = cut.join(fixed_broadcast(before, 2001), "_part").withColumn("_last", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.col("_before")))
+    got = cut.join(fixed_broadcast(before, parts(spark) + 1), "_part").withColumn("_last", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.col("_before")))
     return got.where("_side = 1").select(key, F.when(F.col(f"_last.{by}") == F.col(by), F.col("_last._v")).alias(value))

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import query_terms
+from sparkloom.operators.prefix import positions
 from sparkloom.operators.retrieval import ranked
+from sparkloom.runtime import materialize
 
 # Saturation and length normalisation of the ranking function, column weights.
 K1, B = 1.2, 0.75
@@ -102,10 +104,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, stemmed: bool = F
     go to the smaller chunk_id. Questions without a term and chunks without one of them have no row.
     """
     terms = questions.where("qid is not null and question is not null").select("qid", query_terms("question").alias("ts")).where(F.size("ts") > 0)
+    terms = materialize(terms, "terms")
     blocks = max(1, -(-terms.count() // QUERY_BLOCK))
+    # blocks by place: none holds more than QUERY_BLOCK questions, and none is left out
+    terms = terms.withColumn("block", F.lit(0)) if blocks == 1 else positions(terms, [F.col("qid")]).withColumn("block", F.floor((F.col("position") - 1) / QUERY_BLOCK))
     out = None
     for block in range(blocks):
-        mine = terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).limit(4 * QUERY_BLOCK).collect()
+        mine = terms.where(F.col("block") == block).collect()
         one = _block(chunks, {r["qid"]: [stem(t) if stemmed else t for t in r["ts"]] for r in mine}, k, stemmed)
         out = one if out is None else out.unionByName(one)
     return out

@@ -17,13 +17,13 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     equal may come in any order within it, so ``order`` should be unique. Nulls add nothing.
     """
     spark = df.sparkSession
-    cut = df.repartitionByRange(max(2, min(parts(spark), 2000)), *order).withColumn("_part", F.spark_partition_id())
+    cut = df.repartitionByRange(max(2, parts(spark)), *order).withColumn("_part", F.spark_partition_id())
     cut = materialize(cut, "ranges")
     sums = cut.groupBy("_part").agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in totals.items()])
     w = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = sums.select("_part", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_before_{n}") for n in totals])
     w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = cut.join(fixed_broadcast(before, 2001), "_part")
+    out = cut.join(fixed_broadcast(before, parts(spark) + 1), "_part")
     for n, e in totals.items():
         out = out.withColumn(n, F.coalesce(F.sum(e).over(w), F.lit(0)) + F.col(f"_before_{n}"))
     return out.drop("_part", *[f"_before_{n}" for n in totals])

@@ -97,8 +97,11 @@ def ingest_documents(spark, d):
 
 
 @query("""WITH s AS (SELECT doc_id, coalesce(source, 'none') || '.' || coalesce(lang, 'xx') AS ident FROM documents),
-f AS (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY doc_id) AS k FROM s)
-SELECT doc_id, CASE WHEN k = 1 THEN ident ELSE regexp_replace(ident, '\\.([^.]*)$', '-' || substr(sha256(doc_id::VARCHAR), 1, 4) || '.\\1') END AS unique_id FROM f""")
+f AS (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY doc_id) AS k FROM s), n AS (SELECT unnest([4, 8, 16, 64]) AS n),
+t AS (SELECT doc_id, n, regexp_replace(ident, '\\.([^.]*)$', '-' || substr(sha256(doc_id::VARCHAR), 1, n) || '.\\1') AS id FROM f, n WHERE k > 1),
+o AS (SELECT id FROM (SELECT id FROM t UNION ALL SELECT ident FROM f WHERE k = 1) GROUP BY id HAVING count(*) = 1),
+u AS (SELECT doc_id, arg_min(id, n) AS id FROM t WHERE id IN (SELECT id FROM o) GROUP BY doc_id)
+SELECT doc_id, coalesce(u.id, ident) AS unique_id FROM f LEFT JOIN u USING (doc_id)""")
 def dedupe_ids(spark, d):
     """Unique ids where many documents share one."""
     s = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("none")), F.lit("."), F.coalesce("lang", F.lit("xx"))).alias("ident"))

@@ -124,14 +124,14 @@ def rerank_and_read(spark, d):
     return best.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("score"), M.read_answer("question", "text").alias("answer"))
 
 
-@query("""SELECT chunk_id, coalesce(domain, 'linux') AS domain FROM (SELECT DISTINCT ON (chunk_id) chunk_id, domain FROM chunks WHERE chunk_id IS NOT NULL)""")
+@query("""SELECT chunk_id, coalesce(min(domain), 'linux') AS domain, CASE WHEN bool_or(rowid % 3 = 0) THEN 2 WHEN bool_or(rowid % 2 = 0) THEN 1 END AS vector FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id""")
 def store_upsert(spark, d):
-    """A store to which all chunks are added, and half of them again: each once."""
+    """A store to which half of the chunks are added with vectors, and all of them again, a third with other vectors: each chunk once, with its latest vector."""
     store = ChunkStore(spark, f"{shared_dir(spark)}/sparkloom-store-{uuid.uuid4().hex}")
     c = table(spark, d, "chunks").where("chunk_id is not null")
-    store.add(c.where("rowid % 2 = 0"))
-    store.add(c)
-    return store.chunks().select("chunk_id", F.coalesce("domain", F.lit("linux")).alias("domain"))
+    store.add(c.where("rowid % 2 = 0").withColumn("embedding", F.array(F.lit(1.0))))
+    store.add(c.withColumn("embedding", F.when(F.col("rowid") % 3 == 0, F.array(F.lit(2.0)))))
+    return store.chunks().select("chunk_id", F.coalesce("domain", F.lit("linux")).alias("domain"), F.get("embedding", F.lit(0)).cast("int").alias("vector"))
 
 
 @query("""SELECT chunk_id FROM (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)""")

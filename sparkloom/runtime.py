@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder that all executors see: ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets a temporary one; on a cluster that is an error."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", path)
         _made.append((spark, path))
@@ -76,10 +79,9 @@ def maybe_broadcast(small: DataFrame, row_bytes: int = 64, limit: int = BROADCAS
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
-def fixed_broadcast(small: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side whose row count is bounded by construction to ``rows``."""
-    assert rows <= 100_000
-    return F.broadcast(small)
+def fixed_broadcast(small: DataFrame, rows: int, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a side whose row count is bounded by construction to ``rows``, if so many fit ``limit``; else leave the choice to the planner."""
+    return F.broadcast(small) if rows * row_bytes <= limit else small
 
 
 _shipped: set[str] = set()

@@ -80,6 +80,17 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError):
         s.copy_to(s.root)
     assert with_defaults(new).schema.names == CHUNKS.names
+    vec = lambda r, c, x: spark.createDataFrame([(r, c, "d", x)], "rowid long, chunk_id string, doc_id string, embedding array<float>")
+    for x in ([1.0], [0.5], None):
+        s.add(vec(9, "a", x))
+    got = {r["chunk_id"]: (r["rowid"], r["embedding"]) for r in s.chunks().collect()}
+    assert got == {"a": (1, [0.5]), "b": (2, None)}
+    for k in (1, 2):
+        s.replace_table("questions", spark.createDataFrame([(f"c{k}", "q", None)], "chunk_id string, question string, embedding array<float>"))
+        assert [r["chunk_id"] for r in s.questions().collect()] == [f"c{k}"]
+    s.replace_table("chunks", s._read("chunks", CHUNKS).where("chunk_id = 'b'"))
+    s.add(new)
+    assert sorted(r["chunk_id"] for r in s.chunks().collect()) == ["a", "b"]
 
 
 def test_readers(spark, tmp_path):
