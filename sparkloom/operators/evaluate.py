@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.scalars import exact_sign_p
+from sparkloom.functions.scalars import exact_sign_p, hash_mod
 from sparkloom.functions.text import filled
 from sparkloom.operators.graph import connected_components
 from sparkloom.operators.prefix import running_totals
@@ -239,7 +239,7 @@ def judge_items(control: DataFrame, arm: DataFrame, controls_in_100: int = 10) -
     a = arm.select("key", F.col("answer").alias("aa"), F.col("abstained").alias("ba"), F.col("correct").alias("ca"))
     j = c.join(a, "key")
     differ = F.col("cc") != F.col("ca")
-    hidden = ~differ & (F.pmod(F.xxhash64("key"), F.lit(100)) < controls_in_100)
+    hidden = ~differ & (hash_mod("key", 100) < controls_in_100)
     sides = F.explode(F.array(F.struct(F.lit("control").alias("side"), F.col("ac").alias("answer"), F.col("bc").alias("out")), F.struct(F.lit("arm").alias("side"), F.col("aa").alias("answer"), F.col("ba").alias("out"))))
     rows = j.where(differ | hidden).select("key", hidden.alias("hidden"), sides.alias("x")).where("not x.out and x.answer is not null").select("key", "x.side", "x.answer", "hidden")
     one = rows.groupBy("key", "answer").agg(F.array_join(F.array_sort(F.collect_set("side")), "+").alias("side"), F.max("hidden").alias("hidden"))

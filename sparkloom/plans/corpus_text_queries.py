@@ -44,11 +44,11 @@ k AS (SELECT count(*) AS n, sum(len(a) + len(b)) / count(*) AS mean FROM p),
 x AS (SELECT chunk_id, w, sum(f) AS f, any_value(dl) AS dl FROM (SELECT chunk_id, unnest(a) AS w, 0.5::DOUBLE AS f, len(a) + len(b) AS dl FROM p UNION ALL SELECT chunk_id, unnest(b), 1.0, len(a) + len(b) FROM p) WHERE w IN (SELECT w FROM t) GROUP BY ALL),
 i AS (SELECT w, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM x, k GROUP BY w, n),
 s AS (SELECT qid, chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM t JOIN x USING (w) JOIN i USING (w), k GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM s)
-SELECT qid, rank, round(score, 4) AS score FROM o WHERE rank <= 10""")
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s)
+SELECT qid, rank, chunk_id, round(score, 4) AS score FROM o WHERE rank <= 10""")
 def bm25_search(spark, d):
-    """Scores of the ten best chunks of each question."""
-    return lexical.bm25(_chunks(spark, d), _asked(spark, d)).select("qid", "rank", F.round("score", 4).alias("score"))
+    """The ten best chunks of each question with their scores."""
+    return lexical.bm25(_chunks(spark, d), _asked(spark, d)).select("qid", "rank", "chunk_id", F.round("score", 4).alias("score"))
 
 
 @query()
@@ -111,10 +111,13 @@ def dedupe_ids(spark, d):
 _DIG = """g AS (SELECT sec_id AS key, min({'digest': sha256(sec_id || chr(0) || coalesce(heading, '') || chr(0) || coalesce(text, '') || chr(0)), 'n': coalesce(length(heading), 0) + coalesce(length(text), 0)}) AS x FROM sections WHERE sec_id IS NOT NULL GROUP BY sec_id)"""
 
 
-@query(f"WITH {_DIG} SELECT count(*) AS n_docs, sum(x.n) AS n_chars FROM g")
+_SUMS = ", ".join(f"sum(list_reduce(list_transform(string_split(x.digest[{1 + 15 * k}:{15 + 15 * k}], ''), lambda c: (instr('0123456789abcdef', c) - 1)::HUGEINT), lambda a, b: a * 16 + b))::VARCHAR" for k in range(4))
+
+
+@query(f"WITH {_DIG} SELECT count(*) AS n_docs, sum(x.n) AS n_chars, sha256(concat_ws(',', count(*)::VARCHAR, {_SUMS})) AS digest FROM g")
 def corpus_fingerprint(spark, d):
-    """Number of sections and characters of the corpus, whose digest is checked by the tests."""
-    return corpus.fingerprint(corpus.digests(table(spark, d, "sections"), "sec_id", "heading", "text")).select("n_docs", "n_chars")
+    """Number of sections and characters of the corpus, and the digest of the sections' digests."""
+    return corpus.fingerprint(corpus.digests(table(spark, d, "sections"), "sec_id", "heading", "text"))
 
 
 @query(f"""WITH {_DIG}, old AS (SELECT key, x.digest AS a FROM g WHERE ascii(right(key, 1)) % 7 <> 0), new AS (SELECT key, CASE WHEN ascii(right(key, 1)) % 5 = 0 THEN 'x' ELSE x.digest END AS b FROM g WHERE ascii(right(key, 1)) % 3 <> 0)

@@ -167,11 +167,7 @@ def combine_answers(spark, d):
     return E.combine(*_runs(spark, d), 0.5)
 
 
-@query(f"""WITH {_RUNS}, s AS (SELECT key, score, correct AS good, right(key, 1) < 'm' AS fold FROM r WHERE answerable AND NOT abstained AND score IS NOT NULL),
-t AS (SELECT fold, score, sum(sum(good::INT)) OVER w AS g, sum(sum((NOT good)::INT)) OVER w AS b FROM s GROUP BY fold, score WINDOW w AS (PARTITION BY fold ORDER BY score)),
-o AS (SELECT fold, max(b - g) FILTER (b > g)::BIGINT AS gain, arg_max(score + 1e-9::DOUBLE, {{'g': b - g, 's': -score}}) FILTER (b > g) AS threshold FROM t GROUP BY fold)
-SELECT f.fold, o.threshold, o.gain, (SELECT count(*) FROM s WHERE s.fold <> f.fold AND s.score < o.threshold AND good) AS removed_good, (SELECT count(*) FROM s WHERE s.fold <> f.fold AND s.score < o.threshold AND NOT good) AS removed_bad
-FROM (SELECT true AS fold UNION ALL SELECT false) f LEFT JOIN o USING (fold)""")
+@query()
 def verifier_folds(spark, d):
     """A threshold chosen on one half of the answers, applied to the other, both ways; all variants of a question lie in one half."""
     return held_out(_runs(spark, d)[1].where("answerable and not abstained and score is not null").select("key", "score", F.col("correct").alias("good")))
@@ -219,13 +215,21 @@ def quotas_largest_remainder(spark, d):
     return E.largest_remainder(c, "domain", "n", 100)
 
 
-@query()
+_ITEMS = """f AS (SELECT qid AS key, arg_min({'a': answer, 'c': coalesce(correct, false), 'b': coalesce(abstained, false), 's': coalesce(correct_strict, false)}, answer_id) AS c, arg_max({'a': answer, 'c': coalesce(correct, false), 'b': coalesce(abstained, false)}, answer_id) AS r FROM p9probe_ctx4b_answers WHERE qid IS NOT NULL GROUP BY qid),
+d AS (SELECT *, c.c <> r.c AS differ, list_reduce(list_transform(string_split(sha256(key), ''), lambda x: instr('0123456789abcdef', x) - 1), lambda x, y: (x * 16 + y) % 100) < 10 AS drawn FROM f),
+s AS (SELECT key, NOT differ AS hidden, unnest(['control', 'arm']) AS side, unnest([c.a, r.a]) AS answer, unnest([c.b, r.b]) AS skipped FROM d WHERE differ OR drawn),
+items AS (SELECT substr(sha256(key || chr(0) || answer), 1, 12) AS item, key, CASE count(*) WHEN 2 THEN 'arm+control' ELSE min(side) END AS side, bool_or(hidden) AS hidden FROM s WHERE NOT skipped AND answer IS NOT NULL GROUP BY key, answer)"""
+
+
+@query(f"WITH {_ITEMS} SELECT item, key, side, hidden FROM items")
 def judge_pack_diff(spark, d):
     """Answers to be judged where control and arm differ, with hidden controls."""
     return E.judge_items(*_runs(spark, d)).select("item", "key", "side", "hidden")
 
 
-@query()
+@query(f"""WITH {_ITEMS}, l AS (SELECT i.key, side, CASE WHEN f.c.s THEN 'right' ELSE 'wrong' END AS label FROM items i JOIN f USING (key) WHERE NOT hidden),
+p AS (SELECT key, coalesce(max(label) FILTER (side IN ('control', 'arm+control')), 'wrong') AS x, coalesce(max(label) FILTER (side IN ('arm', 'arm+control')), 'wrong') AS y FROM l GROUP BY key)
+SELECT CASE WHEN x = 'right' AND y = 'wrong' THEN 'lost' WHEN x = 'wrong' AND y = 'right' THEN 'gained' ELSE 'same' END AS verdict, count(*) AS n FROM p GROUP BY ALL""")
 def judge_verdicts(spark, d):
     """Verdicts over the pack, judged by the strict label of the first answer."""
     c, a = _runs(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import models as M
+from sparkloom.functions.text import trimmed
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tools as TL
 from sparkloom.operators import training as TR
@@ -48,7 +49,15 @@ def tool_command_ok(spark, d):
     return _commands(spark, d).select("doc_id", TL.command_ok(F.col("command"), groups).alias("ok"))
 
 
-@query()
+_CALLS = """m AS (SELECT DISTINCT ON (doc_id) doc_id, name, section FROM man_docs), k AS (SELECT *, CASE length(name) % 3 WHEN 0 THEN 'propose_command' WHEN 1 THEN 'show_manpage' ELSE '' END AS tool,
+['read-only', 'destructive', 'destructive', 'read-only', 'destructive', 'read-only', 'destructive', 'unknown'][length(name) % 8 + 1] AS r, CASE WHEN ends_with(doc_id, '.' || section) THEN left(doc_id, length(doc_id) - length(section) - 1) ELSE doc_id END AS base FROM m),
+v AS (SELECT *, coalesce(section IN ('1', '5', '7', '8'), false) AND regexp_matches(base, '^[A-Za-z0-9][A-Za-z0-9_.+-]*$') AS sound FROM k),
+t AS (SELECT doc_id, tool, CASE WHEN tool = 'propose_command' THEN r WHEN tool = 'show_manpage' AND sound THEN 'read-only' ELSE 'unknown' END AS risk,
+tool = 'propose_command' OR (tool = 'show_manpage' AND sound AND base || '.' || section IN (SELECT doc_id FROM m)) AS valid FROM v)"""
+
+
+@query(f"""WITH {_CALLS} SELECT doc_id, tool, risk, valid, NOT (valid AND tool = 'show_manpage') AS confirm, valid AND tool = 'show_manpage' AS ran,
+CASE WHEN NOT valid THEN 'invalid' WHEN tool = 'show_manpage' THEN 'page view' ELSE 'needs confirmation' END AS reason FROM t""")
 def tool_calls(spark, d):
     """Page views and commands as calls: validated, and what may run unasked."""
     c = _commands(spark, d).select("doc_id", "command", "name", "section")
@@ -59,7 +68,12 @@ def tool_calls(spark, d):
     return TL.decide(calls, _pages(spark, d)).select("doc_id", F.col("call.tool").alias("tool"), F.col("call.risk").alias("risk"), "valid", "confirm", "ran", "reason")
 
 
-@query()
+@query(f"""WITH {_CALLS}, s AS (SELECT *, list_reduce(list_transform(string_split(md5(doc_id)[1:4], ''), lambda c: instr('0123456789abcdef', c) - 1), lambda x, y: x * 16 + y) / 65536.0::DOUBLE AS score FROM t),
+g AS (SELECT CASE WHEN score < 0.2 THEN 'refuse' ELSE tool END AS expected, CASE WHEN score < 0.1 THEN 'refuse' ELSE tool END AS tool, score >= 0.1 AND risk = 'read-only' AS good, score < 0.1 OR valid AS valid FROM s)
+SELECT count(*) AS n, round(count(*) FILTER (valid)::DOUBLE / greatest(count(*), 1), 6) AS valid, round(count(*) FILTER (valid AND tool = expected)::DOUBLE / greatest(count(*), 1), 6) AS tool_accuracy,
+round(count(*) FILTER (expected = 'propose_command' AND good)::DOUBLE / greatest(count(*) FILTER (expected = 'propose_command'), 1), 6) AS command_accuracy,
+round(count(*) FILTER (expected = 'refuse' AND tool = 'refuse')::DOUBLE / greatest(count(*) FILTER (expected = 'refuse'), 1), 6) AS refusal,
+round(count(*) FILTER (expected = 'refuse' AND tool IN ('propose_command', 'show_manpage'))::DOUBLE / greatest(count(*) FILTER (expected = 'refuse'), 1), 6) AS over_action FROM g""")
 def tool_report(spark, d):
     """Metrics of those calls at a gate."""
     t = QUERIES["tool_calls"](spark, d).withColumn("score", F.conv(F.substring(F.md5("doc_id"), 1, 4), 16, 10).cast("double") / 65536)
@@ -74,19 +88,20 @@ def typo_variants(spark, d):
     return TR.typo_variants(q).select("qid", "variant_of", "variant_kind", "question", F.size("edits").alias("n_edits"))
 
 
-@query("SELECT 'none' AS qid, 'none' AS problem WHERE false")
+@query(rf"""WITH q AS (SELECT DISTINCT ON (qid) * FROM emacs_questions), j AS (SELECT v.qid, v.variant_kind, v.question, v.edits, b.question AS base FROM q v LEFT JOIN q b ON b.qid = {_TRIM.format('v.variant_of')} WHERE v.variant_kind IN ('typo1', 'typo3'))
+SELECT qid, unnest(list_filter([CASE WHEN base IS NULL THEN 'no base' END, CASE WHEN len(edits) <> CASE variant_kind WHEN 'typo1' THEN 1 ELSE 3 END THEN 'number of edits' END,
+CASE WHEN len(list_distinct(list_transform(edits, lambda e: e.word_index))) <> len(edits) THEN 'word edited twice' END, CASE WHEN len(list_filter(edits, lambda e: substr(e.before, 1, 1) <> substr(e.after, 1, 1))) > 0 THEN 'first letter' END,
+CASE WHEN len(list_filter(edits, lambda e: e.before = e.after)) > 0 OR question = base THEN 'no change' END], lambda x: x IS NOT NULL)) AS problem FROM j""")
 def variants_check(spark, d):
-    """Violations of the variants made: none."""
-    q = table(spark, d, "emacs_questions").where("variant_of is null and paraphrase_of is null")
-    return TR.variant_violations(materialize(TR.typo_variants(q), "variants"), q)
+    """Violations of the recorded mistyped variants."""
+    q = table(spark, d, "emacs_questions").dropDuplicates(["qid"])
+    return TR.variant_violations(q.where("variant_kind in ('typo1', 'typo3')").withColumn("variant_of", trimmed("variant_of")).select("qid", "variant_of", "variant_kind", "question", "edits"), q)
 
 
 @query(rf"""WITH q AS (SELECT DISTINCT ON (qid) qid, question, variant_of FROM emacs_questions), v AS (SELECT qid, {_TRIM.format('variant_of')} AS base, question FROM q WHERE variant_of IS NOT NULL)
 SELECT v.qid, b.qid IS NULL AS orphan, coalesce(v.question = b.question, false) AS same FROM v LEFT JOIN q b ON b.qid = v.base""")
 def variant_bases(spark, d):
     """The recorded variants with their base: missing, or with the same words."""
-    from sparkloom.functions.text import trimmed
-
     q = table(spark, d, "emacs_questions").select("qid", "question", "variant_of").dropDuplicates(["qid"])
     v = q.where("variant_of is not null").select("qid", trimmed("variant_of").alias("base"), "question")
     b = q.select(F.col("qid").alias("base"), F.col("question").alias("bq"), F.lit(True).alias("there"))

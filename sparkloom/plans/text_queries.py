@@ -29,9 +29,27 @@ _AS = "a AS (SELECT DISTINCT ON (answer_id) * FROM p9probe_ctx4b_answers)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in S.STOP) + "]"
 _ABST = S.ABSTAIN.replace("'", "''")
 _CITES = r"list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\[([1-9])\]', 1), lambda x: x::INT))"
-#: Here a document's first chunk stands for it; the queries look into all its chunks.
-_HITS = """first AS (SELECT doc_id, arg_min(coalesce(prefix, ''), rowid) AS prefix, arg_min(coalesce(text, ''), rowid) AS text FROM chunks GROUP BY doc_id),
-hits AS (SELECT answer_id, n, doc_id, f.prefix || f.text AS body, f.text FROM (SELECT answer_id, unnest(retrieved_docs) AS doc_id, generate_subscripts(retrieved_docs, 1) AS n FROM a) h JOIN first f USING (doc_id))"""
+# Every chunk of every document that an answer was given
+_HITS = """hits AS (SELECT answer_id, n, h.doc_id, c.sec_id, c.ord, coalesce(c.prefix, '') || coalesce(c.text, '') AS body, coalesce(c.text, '') AS text
+FROM (SELECT answer_id, unnest(retrieved_docs) AS doc_id, generate_subscripts(retrieved_docs, 1) AS n FROM a) h JOIN (SELECT DISTINCT doc_id, sec_id, ord, prefix, text FROM chunks) c USING (doc_id))"""
+
+
+def _ids_sql(x: str) -> str:
+    """Identifiers of ``x``, as :func:`sparkloom.functions.scalars.identifiers` without look-around: what stands before is matched too, and separators are doubled where what follows is."""
+    before = r"(?:^|[^\w-])"
+    q = "'"
+    long, chord, command = (rf"regexp_extract_all({x}, '{before}({p})', 1)" for p in (S.LONG_FLAG, rf"(?:[CMs]-)+[^\s,;:){q}{q}" + r'"`]+', r"M-x\s+[a-z][a-z0-9-]*"))
+    short = rf"regexp_extract_all(regexp_replace({x}, '([^\w-])', '\1\1', 'g'), '{before}(-[A-Za-z0-9])(?:$|[^\w-])', 1)"
+    return f"list_distinct(list_concat(list_concat({long}, {short}), list_concat({chord}, {command})))"
+
+
+_BARE = r"regexp_replace(coalesce(answer, ''), '\[([1-9])\]', '', 'g')"
+_CLAIM = r"'([^\[\]]+?)\s*((?:\[\d+\])+)'"
+_CLAIMS = rf"""x AS (SELECT answer_id, coalesce(len(retrieved_docs), 0) AS n_ext, generate_subscripts(regexp_extract_all(answer, {_CLAIM}, 1), 1) - 1 AS claim, trim(unnest(regexp_extract_all(answer, {_CLAIM}, 1))) AS t, unnest(regexp_extract_all(answer, {_CLAIM}, 2)) AS c
+FROM a WHERE trim(answer) <> 'I don''t know.'),
+y AS (SELECT answer_id, n_ext, claim, list_distinct(list_concat(regexp_extract_all(t, '`([^`]+)`', 1), regexp_extract_all(t, '(?:^|[^\w-])(--?[A-Za-z][\w-]*)', 1))) AS lits, unnest(list_transform(regexp_extract_all(c, '\d+'), lambda v: v::INT)) AS n FROM x),
+z AS (SELECT y.answer_id, claim, y.n, n_ext, len(lits) AS k, max(len(list_filter(lits, lambda l: contains(h.body, l)))) AS held FROM y LEFT JOIN hits h ON h.answer_id = y.answer_id AND h.n = y.n GROUP BY ALL),
+sc AS (SELECT answer_id, claim, max(CASE WHEN n < 1 OR n > n_ext THEN 0.0::DOUBLE WHEN k > 0 THEN coalesce(held, 0)::DOUBLE / k END) AS score FROM z GROUP BY ALL)"""
 
 
 @query(rf"""WITH {_QS}, t AS (SELECT qid, list_filter(list_transform(regexp_extract_all(replace(question, '-', ' '), '[A-Za-z0-9_.%/=]+'),
@@ -61,9 +79,9 @@ def citations_verify(spark, d):
     return A.verify_citations(_a(spark, d), _q(spark, d), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")))
 
 
-@query(rf"""WITH {_AS}, {_HITS}, p AS (SELECT answer_id, unnest(regexp_extract_all(coalesce(answer, ''), '[“"]([^”"\n]+)[”"][^\[\]\n]*\[([1-9])\]', 1)) AS quote, unnest(regexp_extract_all(coalesce(answer, ''), '[“"]([^”"\n]+)[”"][^\[\]\n]*\[([1-9])\]', 2))::INT AS n FROM a),
-v AS (SELECT p.answer_id, count(*) AS n_quotes, bool_and(coalesce(contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(quote, '\s+', ' ', 'g'))), false)) AS ok
-      FROM p LEFT JOIN hits h ON h.answer_id = p.answer_id AND h.n = p.n GROUP BY 1)
+@query(rf"""WITH {_AS}, {_HITS}, p AS (SELECT answer_id, generate_subscripts(regexp_extract_all(coalesce(answer, ''), '[“"]([^”"\n]+)[”"][^\[\]\n]*\[([1-9])\]', 1), 1) AS k, unnest(regexp_extract_all(coalesce(answer, ''), '[“"]([^”"\n]+)[”"][^\[\]\n]*\[([1-9])\]', 1)) AS quote, unnest(regexp_extract_all(coalesce(answer, ''), '[“"]([^”"\n]+)[”"][^\[\]\n]*\[([1-9])\]', 2))::INT AS n FROM a),
+o AS (SELECT p.answer_id, k, bool_or(coalesce(contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(quote, '\s+', ' ', 'g'))), false)) AS ok FROM p LEFT JOIN hits h ON h.answer_id = p.answer_id AND h.n = p.n GROUP BY ALL),
+v AS (SELECT answer_id, count(*) AS n_quotes, bool_and(ok) AS ok FROM o GROUP BY 1)
 SELECT answer_id, coalesce(n_quotes, 0) AS n_quotes, coalesce(ok, false) AS verified FROM a LEFT JOIN v USING (answer_id)""")
 def quote_verify(spark, d):
     """Whether every quotation of an answer stands in the document it cites."""
@@ -74,25 +92,33 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return A.score_claims(A.claims(_a(spark, d)), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")), _a(spark, d))
 
 
-@query()
+@query(f"WITH {_AS}, {_HITS}, {_CLAIMS} SELECT answer_id, claim, round(score, 6) AS score FROM sc")
 def lexical_support(spark, d):
     """Each claim's best support by the documents it cites: the share of its literals found there."""
     return _claims(spark, d).select("answer_id", "claim", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {_AS}, {_HITS}, {_CLAIMS} SELECT answer_id, round(min(score), 6) AS score FROM sc GROUP BY answer_id")
 def answer_min_max(spark, d):
     """Each answer's support: the least of its claims', of which each has its best extract."""
     return A.score_answers(_claims(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(rf"""WITH {_AS}, {_HITS}, i AS (SELECT answer_id, {_ids_sql(_BARE)} AS ids, unnest({_CITES}) AS n FROM a WHERE trim(answer) <> 'I don''t know.'),
+l AS (SELECT i.answer_id, i.n, ids, h.doc_id, h.sec_id, h.ord, list_filter(list_transform(string_split(h.body, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND len(list_filter(ids, lambda d: contains(x, d) AND (NOT starts_with(d, '-') OR list_contains({_ids_sql('x')}, d)))) > 0) AS ls
+  FROM i JOIN hits h ON h.answer_id = i.answer_id AND h.n = i.n WHERE len(ids) > 0 AND len(list_filter(ids, lambda d: contains(h.body, d))) > 0),
+f AS (SELECT answer_id, n, doc_id, min({{'o': ord, 's': sec_id, 'l': substr(ls[1], 1, 200)}}) AS x FROM l WHERE len(ls) > 0 GROUP BY ALL)
+SELECT answer_id, n, x.l AS line, CASE WHEN regexp_matches(doc_id, '^(.+)\.(\d[A-Za-z]*)$') THEN 'man ' || regexp_extract(doc_id, '^(.+)\.(\d[A-Za-z]*)$', 2) || ' ' || regexp_extract(doc_id, '^(.+)\.(\d[A-Za-z]*)$', 1)
+ELSE 'Info manual ' || split_part(doc_id, '.', 1) || ', section ' || CASE WHEN contains(x.s, '#') THEN regexp_extract(x.s, '#(.*)$', 1) ELSE doc_id END END AS pointer FROM f""")
 def evidence_line(spark, d):
     """For each citation the first line of its document that names an identifier of the answer, and where to read on."""
     return A.evidence_lines(_a(spark, d), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")))
 
 
-@query()
+@query(rf"""WITH {_AS}, {_HITS}, i AS (SELECT answer_id, kind, {_ids_sql(_BARE)} AS ids FROM a), w AS (SELECT answer_id, unnest(ids) AS id FROM i),
+k AS (SELECT w.answer_id, count(DISTINCT id) AS held FROM w JOIN hits h ON h.answer_id = w.answer_id AND contains(h.body, w.id) AND list_contains({_ids_sql('h.body')}, w.id) GROUP BY 1),
+m AS (SELECT answer_id, bool_or(ord > 0 AND regexp_matches(substr(text, 1, 1), '[a-z0-9]')) AS mid FROM hits GROUP BY 1)
+SELECT kind, count(*) AS answers, count(*) FILTER (len(ids) > 0) AS named, count(*) FILTER (len(ids) > coalesce(held, 0)) AS ungrounded, count(*) FILTER (mid) AS mid_fragment FROM i LEFT JOIN k USING (answer_id) LEFT JOIN m USING (answer_id) GROUP BY kind""")
 def grounding_report(spark, d):
     """Answers that name options, keys or commands which no retrieved extract holds, by kind."""
     return A.grounding(_a(spark, d), A.whole_extracts(_a(spark, d), table(spark, d, "chunks")))
