@@ -119,7 +119,14 @@ def queries() -> dict:
     return {q.__name__: q for q in (p1_found, p1_split, p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_report, p5_spans, p7_found, p8_ids, p8_roundtrip, p9_containers, p9_fill, p9_pairs, p10_found, p10_stats)}
 
 
-SQL: dict[str, str] = {}
+#: White space of any kind, trimmed at both ends.
+_TRIM = r"regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE q AS (SELECT DISTINCT qid, nullif({_TRIM.format("variant_of")}, '') AS v, nullif({_TRIM.format("paraphrase_of")}, '') AS p FROM emacs_questions WHERE qid IS NOT NULL),
+e AS (SELECT 'q:' || qid AS a, 'p:' || split_part(qid, '.', 1) AS b FROM q UNION SELECT 'q:' || qid, 'q:' || v FROM q WHERE v IS NOT NULL UNION SELECT 'q:' || qid, 'q:' || p FROM q WHERE p IS NOT NULL),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT 'q:' || qid AS node, 'q:' || qid AS at FROM q UNION SELECT r.node, u.b FROM r JOIN u ON r.at = u.a),
+m AS (SELECT r.node, min(q.qid) AS family, count(*) AS n FROM r JOIN (SELECT DISTINCT qid FROM q) q ON r.at = 'q:' || q.qid GROUP BY r.node) SELECT substr(node, 3) AS qid, family FROM m WHERE n > 1""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
