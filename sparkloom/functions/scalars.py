@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words of a question that are no search terms.
 STOP = """a an the is are was were be been being do does did doing done
@@ -119,9 +123,15 @@ def page_prefix(name: Column, section: Column, summary: Column) -> Column:
     return F.concat(head, F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit(" - "), summary)).otherwise(""), F.lit("\n"))
 
 
+@F.pandas_udf(T.StringType())
+def ascii_form(text: pd.Series) -> pd.Series:
+    """The ASCII characters of the Unicode form NFKD: letters without their accents."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
 def slug(c: Column | str) -> Column:
-    """ASCII letters and digits in lower case joined by dashes, 48 at most, else 'untitled'."""
-    s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(_c(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, 48)
+    """ASCII letters (without their accents) and digits in lower case joined by dashes, 48 at most, else 'untitled'."""
+    s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(ascii_form(_c(c))), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, 48)
     return F.when(F.coalesce(s, F.lit("")) == "", "untitled").otherwise(s)
 
 

@@ -133,3 +133,21 @@ def grounding(answers: DataFrame, extracts: Extracts) -> DataFrame:
     missing = F.size("ids") > F.coalesce("held", F.lit(0))
     n = lambda c: F.count(F.when(c, 1))
     return a.groupBy("kind").agg(F.count("*").alias("answers"), n(F.size("ids") > 0).alias("named"), n(missing).alias("ungrounded"), n(F.col("mid")).alias("mid_fragment"))
+
+
+def evidence_in(answers: DataFrame, questions: DataFrame, aliases: DataFrame, extracts: Extracts) -> DataFrame:
+    """(answer_id, strict, aliased): one extract of a retrieved document holds, in its text (not its prefix), every token of the question; or for each the token or one of its aliases (qid, token, alias).
+
+    A question without tokens has evidence in any extract, one without extracts has none.
+    """
+    none = F.array().cast("array<string>")
+    toks = questions.where("qid is not null").groupBy("qid").agg(F.min(F.filter(F.coalesce("answer_contains", none), lambda t: t.isNotNull())).alias("toks"))
+    other = aliases.where("alias is not null").groupBy("qid", "token").agg(F.collect_set("alias").alias("also"))
+    ways = toks.select("qid", F.explode_outer("toks").alias("token")).join(other, ["qid", "token"], "left")
+    ways = ways.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.concat(F.array("token"), F.coalesce("also", none))))).alias("ways"))
+    asked, texts = extracts
+    need = answers.select("answer_id", "qid").join(ways, "qid").join(asked, "answer_id").select("answer_id", "n", "ways")
+    holds = lambda which: F.forall("ways", which)
+    value = F.when(holds(lambda w: F.contains("text", w[0])), 2).when(holds(lambda w: F.exists(w, lambda t: F.contains("text", t))), 1)
+    best = _over_extracts(need, extracts, "ways", value, F.max).groupBy("answer_id").agg(F.max("found").alias("found"))
+    return answers.select("answer_id").join(best, "answer_id", "left").select("answer_id", F.coalesce(F.col("found") == 2, F.lit(False)).alias("strict"), F.col("found").isNotNull().alias("aliased"))

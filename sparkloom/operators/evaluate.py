@@ -19,7 +19,7 @@ from sparkloom.runtime import materialize
 # Verdict of a comparison; training of the calibrated gate; nudges of thresholds.
 MIN_NET, MAX_LOST, MIN_ABSTENTION = 4, 1, 0
 LEARNING_RATE, ITERATIONS, L2 = 0.1, 2000, 1.0
-BELOW, ABOVE = 1e-6, 1e-9
+BELOW, ABOVE, JUST_ABOVE = 1e-6, 1e-9, 1e-12
 DEPTHS = (1, 3, 5, 10, 20)
 
 
@@ -266,3 +266,32 @@ def exact_p(gained: int, lost: int) -> float:
 def by_tag(run: DataFrame) -> DataFrame:
     """One row for each tag of each row."""
     return run.select(F.explode("tags").alias("tag"), *[c for c in run.columns if c != "tags"]).where("tag is not null")
+
+
+def threshold_at_target(scored: DataFrame, target: int) -> DataFrame:
+    """(threshold, refusals): just above the lowest score at which at least ``target`` rows are refused, else above the largest; null without rows.
+
+    Rows (score) are refused below the threshold. Counts come from running totals over distinct scores.
+    """
+    s = scored.where("score is not null").groupBy("score").agg(F.count("*").alias("_n"))
+    tot = materialize(running_totals(s, [F.col("score")], {"refusals": F.col("_n")}), "targets")
+    enough = F.col("refusals") >= target
+    got = tot.agg(F.min_by(F.struct("score", "refusals"), F.when(enough, F.col("score"))).alias("x"), F.max_by(F.struct("score", "refusals"), "score").alias("y"))
+    best = F.coalesce("x", "y")
+    return got.select((best["score"] + JUST_ABOVE).alias("threshold"), best["refusals"].alias("refusals"))
+
+
+def held_report(scored: DataFrame, target_share: float) -> DataFrame:
+    """(part, threshold, n, refused, refused_unanswerable, correct): a threshold that refuses ``target_share`` of the rows marked ``fit``, frozen and replayed on both parts.
+
+    scored: (score, answerable, correct, fit); a row without a score is never refused.
+    """
+    s = materialize(scored, "scored")
+    fit = s.where("fit")
+    n_fit = fit.where("score is not null").count()
+    frozen = threshold_at_target(fit, int(n_fit * target_share)).select("threshold")
+    j = s.join(F.broadcast(frozen))
+    refused = F.coalesce(F.col("score") < F.col("threshold"), F.lit(False))
+    return j.groupBy(F.when(F.col("fit"), "fit").otherwise("held").alias("part"), "threshold").agg(
+        F.count("*").alias("n"), n(refused).alias("refused"), n(refused & ~F.col("answerable")).alias("refused_unanswerable"), n(~refused & F.col("answerable") & F.col("correct")).alias("correct"),
+    )

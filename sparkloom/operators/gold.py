@@ -146,3 +146,11 @@ def normal_key(c: Column) -> Column:
 def is_key_shaped(c: Column) -> Column:
     """Starts with a modifier, or is a function key, or a prefix with one more key."""
     return c.rlike(r"^(?:[CMsHSA]-\S+|<?f\d{1,2}>?|ESC \S+)(?: \S+)*$")
+
+
+def alias_statistics(aliases: DataFrame, many: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((rule, n, questions), (qid, token, n)): distinct aliases and questions by rule, and tokens with more than ``many`` aliases."""
+    one = aliases.where("alias is not null").select("qid", "token", "alias", "rule").distinct()
+    by_rule = one.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("qid").alias("questions"))
+    crowded = one.groupBy("qid", "token").agg(F.countDistinct("alias").alias("n")).where(F.col("n") > many)
+    return by_rule, crowded

@@ -16,6 +16,7 @@ from sparkloom.functions import scalars as S
 from sparkloom.operators import retrieval as R
 from sparkloom.operators.chunking import structured_chunks
 from sparkloom.operators.lexical import bm25
+from sparkloom.operators.spelling import repair
 from sparkloom.runtime import materialize
 from sparkloom.sources.store import ChunkStore
 
@@ -110,3 +111,18 @@ def answer_in_tiers(questions: DataFrame, chunks: DataFrame, tiers: list[dict],
         if not last:
             left = left.join(got.where("abstained").select("qid"), "qid", "left_semi")
     return done
+
+
+def widen_spell(questions: DataFrame, vocab: DataFrame, search: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(pool, audit): the hits of each question, and where the vocabulary repairs it, behind them the hits of the repaired question that it lacks.
+
+    ``search`` gives (qid, rank, chunk_id) of (qid, question). pool: (query_id, place, chunk_id); audit: (qid, question, repaired, n_edits) of the questions repaired. Repaired questions are searched with the others in one call.
+    """
+    q = questions.where("qid is not null and question is not null").select("qid", "question").dropDuplicates(["qid"])
+    fixed = materialize(repair(q, vocab), "repaired")
+    changed = fixed.where("n_edits > 0").join(q, "qid").select("qid", "question", "repaired", "n_edits")
+    both = q.select(F.struct(F.lit(0).alias("list_no"), "qid").alias("k"), "question").unionByName(changed.select(F.struct(F.lit(1).alias("list_no"), "qid").alias("k"), F.col("repaired").alias("question")))
+    name = F.concat(F.col("k.list_no").cast("string"), F.lit(":"), F.col("k.qid"))
+    hits = search(both.select(name.alias("qid"), "question"))
+    lists = hits.select(F.substring("qid", 3, 1 << 30).alias("query_id"), F.substring("qid", 1, 1).cast("int").alias("list_no"), "rank", "chunk_id")
+    return R.pooled(lists, "query_id", "chunk_id"), changed

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import corpus_queries, corpus_text_queries, evaluation_queries, pipeline_queries, retrieval_queries, text_queries
+from sparkloom.plans import corpus_queries, corpus_text_queries, evaluation_queries, pipeline_queries, reader_queries, retrieval_queries, text_queries
 
-MODULES = [retrieval_queries, text_queries, corpus_text_queries, evaluation_queries, pipeline_queries, corpus_queries]
+MODULES = [retrieval_queries, text_queries, corpus_text_queries, evaluation_queries, pipeline_queries, corpus_queries, reader_queries]
 
 
 def queries() -> dict:
