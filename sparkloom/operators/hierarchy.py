@@ -22,17 +22,8 @@ def _nodes(df: DataFrame, key: str, parent: str, extra: dict[str, str]) -> DataF
     return out.select("node", "r.*").withColumn("parent", trimmed("raw"))
 
 
-def hierarchy(df: DataFrame, key: str, parent: str, heading: str | None = None, level: str | None = None) -> DataFrame:
-    """(node, parent, has_parent, level, root, depth, path, fault) for every node.
-
-    Roots are the nodes whose parent is null or does not exist. Each round joins the frontier with the
-    nodes below it and extends root, depth and path. What no root reaches lies on or under a cycle: its
-    root is 'cycle', its depth -1, its path null. fault (null for nodes without a parent): ``cycle``;
-    ``missing`` if the root names a parent that does not exist; ``level`` if the stated level is not
-    null and differs from depth + 1; else ``none``. A blank parent names no existing node. Rows with a
-    null key are left out; repeated rows count once. A null heading enters the path as ''.
-    """
-    spark = df.sparkSession
+def _reach(df: DataFrame, key: str, parent: str, heading: str | None, level: str | None, ancestors: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(all nodes, those that a root reaches with root, depth, path, broken and, if asked for, ``above``: the nodes from the root down to the parent)."""
     extra = {"heading": heading or key, "level": level or key}
     nodes = _nodes(df, key, parent, extra).withColumn("level", F.col("level").cast("int") if level else F.lit(None).cast("int"))
     nodes = materialize(nodes, "nodes")
@@ -41,9 +32,10 @@ def hierarchy(df: DataFrame, key: str, parent: str, heading: str | None = None,
     # one row a node; top: it has no existing parent
     kin = materialize(kin.withColumn("top", F.col("known").isNull()), "kin")
     name = F.coalesce(F.col("heading"), F.lit(""))
+    none = F.array().cast(f"array<{dict(nodes.dtypes)['node']}>")
     frontier = kin.where("top").select(
         "node", F.col("node").alias("root"), F.lit(0).alias("depth"),
-        (name if heading else F.lit("")).alias("path"), F.col("raw").isNotNull().alias("broken"),
+        (name if heading else F.lit("")).alias("path"), F.col("raw").isNotNull().alias("broken"), none.alias("above"),
     )
     below = kin.where("not top").select(F.col("node").alias("child"), "parent", name.alias("name"))
     frontier, base = materialize(frontier, "frontier"), 0
@@ -54,6 +46,7 @@ def hierarchy(df: DataFrame, key: str, parent: str, heading: str | None = None,
             at = at.join(below, at["node"] == below["parent"]).select(
                 F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"),
                 (F.concat_ws(" / ", "path", "name") if heading else F.col("path")).alias("path"), "broken",
+                (F.concat("above", F.array("node")) if ancestors else F.col("above")).alias("above"),
             )
             levels.append(at)
         reach = materialize(reduce(DataFrame.union, levels), "frontier")
@@ -63,7 +56,20 @@ def hierarchy(df: DataFrame, key: str, parent: str, heading: str | None = None,
         done.append(reach)
         base += LEVELS_PER_JOB
         frontier = reach.where(F.col("depth") == base)
-    reached = reduce(DataFrame.union, done)
+    return kin, reduce(DataFrame.union, done)
+
+
+def hierarchy(df: DataFrame, key: str, parent: str, heading: str | None = None, level: str | None = None) -> DataFrame:
+    """(node, parent, has_parent, level, root, depth, path, fault) for every node.
+
+    Roots are the nodes whose parent is null or does not exist. Each round joins the frontier with the
+    nodes below it and extends root, depth and path. What no root reaches lies on or under a cycle: its
+    root is 'cycle', its depth -1, its path null. fault (null for nodes without a parent): ``cycle``;
+    ``missing`` if the root names a parent that does not exist; ``level`` if the stated level is not
+    null and differs from depth + 1; else ``none``. A blank parent names no existing node. Rows with a
+    null key are left out; repeated rows count once. A null heading enters the path as ''.
+    """
+    kin, reached = _reach(df, key, parent, heading, level)
     out = kin.join(reached, "node", "left")
     fault = (
         F.when(F.col("raw").isNull(), None)
@@ -81,26 +87,9 @@ def hierarchy(df: DataFrame, key: str, parent: str, heading: str | None = None,
 def descendants(df: DataFrame, key: str, parent: str) -> DataFrame:
     """(ancestor, node, distance): every node below every node, in trees and not on cycles.
 
-    The frontier starts with every child and its parent and moves up one parent a round; ancestors
-    that lie on a cycle are left out through the depths of :func:`hierarchy`, so the rounds end.
+    The frontier carries the nodes above it down from the roots; these are the pairs, and take no more
+    room than the result. What no root reaches has none.
     """
-    tree = materialize(hierarchy(df, key, parent).where("depth >= 0").select("node", "parent", "depth"), "tree")
-    up = tree.where("depth > 0").select(F.col("node").alias("k"), F.col("parent").alias("next"))
-    pairs = tree.where("depth > 0").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("distance"), F.col("depth").alias("rest"))
-    pairs = materialize(pairs.withColumn("rest", F.col("rest") - 1), "pairs")
-    done, base = [pairs], 1
-    while True:
-        steps, at = [], pairs
-        for _ in range(LEVELS_PER_JOB):
-            at = at.where("rest > 0").join(up, at["ancestor"] == up["k"]).select(
-                F.col("next").alias("ancestor"), "node", (F.col("distance") + 1).alias("distance"), (F.col("rest") - 1).alias("rest")
-            )
-            steps.append(at)
-        got = materialize(reduce(DataFrame.union, steps), "pairs")
-        if got.isEmpty():
-            release(got)
-            break
-        done.append(got)
-        base += LEVELS_PER_JOB
-        pairs = got.where(F.col("distance") == base)
-    return reduce(DataFrame.union, done).select("ancestor", "node", "distance")
+    _, reached = _reach(df, key, parent, None, None, ancestors=True)
+    pairs = reached.where("depth > 0").select("node", "depth", F.posexplode("above").alias("place", "ancestor"))
+    return pairs.select("ancestor", "node", (F.col("depth") - F.col("place")).alias("distance"))
