@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import zip_longest
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import words
 from sparkloom.runtime import materialize, maybe_broadcast, parts
 
-#: Distinct suffixes that a task holds before it sends their counts on.
-HELD = 300_000
+#: Words that a task holds before it sends the counts of their suffixes on.
+HELD = 2_000_000
 #: Words of a truncated suffix.
 SIGMA = 2
 
@@ -25,6 +26,55 @@ def without_repeats(df: DataFrame, key: str, row: str) -> DataFrame:
     return df.join(maybe_broadcast(materialize(extra, "repeats"), 24), row, "left_anti")
 
 
+class Held:
+    """Words of some texts as numbers, until their truncated suffixes are counted."""
+
+    def __init__(self, sigma: int):
+        self.sigma, self.size, self.filled = sigma, 0, 0
+        self.number: dict[str, int] = {}
+        self.flat: list[np.ndarray] = []
+        self.lens: list[np.ndarray] = []
+
+    def add(self, texts: list[str | None]) -> None:
+        lists = [words(t) for t in texts]
+        self.filled += sum(bool(ws) or bool(t and t.strip()) for ws, t in zip(lists, texts))
+        number = self.number
+        self.flat.append(np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), np.int64))
+        self.lens.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        self.size += len(self.flat[-1])
+
+    def flush(self, field: str, names: list[str]) -> pa.RecordBatch:
+        """(field, suffix, second, n, r1, ...): each distinct suffix, its number, and in how many texts it holds the first occurrence of each of its prefixes. The suffix '' counts the texts that are not blank."""
+        empty = [np.empty(0, np.int64)]
+        flat, lens = np.concatenate(self.flat or empty), np.concatenate(self.lens or empty)
+        text = np.repeat(np.arange(len(lens)), lens)
+        left = np.repeat(np.cumsum(lens), lens) - np.arange(len(flat))  # words from here to the text's end
+        # prefixes of each suffix as dense numbers, level by level; 0 stands for no further word
+        levels, code = [], flat
+        for k in range(self.sigma):
+            there = left > k
+            if k:
+                word = np.where(there, np.concatenate([flat[k:], np.zeros(min(k, len(flat)), np.int64)]) + 1, 0)
+                code = np.unique(code * (len(self.number) + 1) + word, return_inverse=True)[1].reshape(-1)
+            levels.append((code, there))
+        _, first, which, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        which = which.reshape(-1)
+        counts = {"n": n}
+        for x, (code, there) in zip(names, levels):
+            at = np.flatnonzero(there)
+            met = at[np.unique(text[at] * (int(code.max()) + 1 if len(code) else 1) + code[at], return_index=True)[1]]
+            counts[x] = np.bincount(which[met], minlength=len(n))
+        known = pa.array(list(self.number), pa.string())
+        spelled = [known.take(pa.array(np.where(left[first] > k, flat[np.minimum(first + k, max(len(flat) - 1, 0))], 0), mask=left[first] <= k)) for k in range(self.sigma)] if len(first) else [pa.array([], pa.string())] * self.sigma
+        suffix = pa.compute.binary_join_element_wise(*spelled, " ", null_handling="skip")
+        second = pa.compute.fill_null(spelled[1], "") if self.sigma > 1 else pa.array([""] * len(first), pa.string())
+        out = pa.table({"field": pa.array([field] * len(first), pa.string()), "suffix": suffix, "second": second} | {x: pa.array(v, pa.int64()) for x, v in counts.items()})
+        whole = pa.table({"field": [field], "suffix": [""], "second": [""]} | {x: pa.array([self.filled], pa.int64()) for x in counts})
+        out = pa.concat_tables([out, whole.cast(out.schema)] if self.filled else [out]).combine_chunks()
+        self.__init__(self.sigma)
+        return out.to_batches()[0] if len(out) else pa.RecordBatch.from_pydict({c: pa.array([], t) for c, t in zip(out.schema.names, out.schema.types)})
+
+
 def suffix_counts(df: DataFrame, columns: list[str], sigma: int = SIGMA) -> DataFrame:
     """(field, ngram, n, records): how often each sequence of up to ``sigma`` words occurs in each column, and in how many rows.
 
@@ -39,49 +89,15 @@ def suffix_counts(df: DataFrame, columns: list[str], sigma: int = SIGMA) -> Data
     names = [f"r{k}" for k in range(1, sigma + 1)]
     schema = "field string, suffix string, second string, n long, " + ", ".join(f"{x} long" for x in names)
 
-    def batch(held: dict, field: str) -> pa.RecordBatch:
-        keys = list(held)
-        cols = {
-            "field": pa.array([field] * len(keys), pa.string()), "suffix": pa.array([" ".join(k) if k else "" for k in keys], pa.string()),
-            "second": pa.array([k[1] if len(k) > 1 else "" for k in keys], pa.string()), "n": pa.array([v[0] for v in held.values()], pa.int64()),
-        }
-        return pa.RecordBatch.from_pydict(cols | {x: pa.array([v[k + 1] for v in held.values()], pa.int64()) for k, x in enumerate(names)})
-
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict] = {c: {} for c in columns}
-
-        def flush(c: str) -> pa.RecordBatch:
-            out = batch(held[c], c)
-            held[c].clear()
-            return out
-
+        held = {c: Held(sigma) for c in columns}
         for b in batches:
             for c in columns:
-                mine = held[c]
-                for text in b[c].to_pylist():
-                    ws = words(text)
-                    if ws or (text and text.strip()):
-                        blank = mine.setdefault((), [0] * (sigma + 1))
-                        for k in range(sigma + 1):
-                            blank[k] += 1
-                    seen = set()
-                    for s in zip_longest(*(ws[k:] for k in range(sigma))):
-                        if s[-1] is None:
-                            s = tuple(w for w in s if w is not None)
-                        at = mine.get(s)
-                        if at is None:
-                            at = mine[s] = [0] * (sigma + 1)
-                        at[0] += 1
-                        for k in range(len(s), 0, -1):
-                            p = s[:k]
-                            if p in seen:
-                                break  # then its shorter prefixes were seen as well
-                            seen.add(p)
-                            at[k] += 1
-                if len(mine) > HELD:
-                    yield flush(c)
+                held[c].add(b[c].to_pylist())
+                if held[c].size > HELD:
+                    yield held[c].flush(c, names)
         for c in columns:
-            yield flush(c)
+            yield held[c].flush(c, names)
 
     def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, open_terms, sums, filled = None, [], [], [0, 0]
