@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as S
+from sparkloom.operators.holding import fulfilled
+from sparkloom.runtime import materialize
 
 #: Salts by which a document's chunks are spread.
 SALTS = 32
@@ -142,12 +144,11 @@ def evidence_in(answers: DataFrame, questions: DataFrame, aliases: DataFrame, ex
     """
     none = F.array().cast("array<string>")
     toks = questions.where("qid is not null").groupBy("qid").agg(F.min(F.filter(F.coalesce("answer_contains", none), lambda t: t.isNotNull())).alias("toks"))
-    other = aliases.where("alias is not null").groupBy("qid", "token").agg(F.collect_set("alias").alias("also"))
+    other = aliases.where("alias is not null").groupBy("qid", "token").agg(F.array_sort(F.collect_set("alias")).alias("also"))
     ways = toks.select("qid", F.explode_outer("toks").alias("token")).join(other, ["qid", "token"], "left")
     ways = ways.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.concat(F.array("token"), F.coalesce("also", none))))).alias("ways"))
     asked, texts = extracts
-    need = answers.select("answer_id", "qid").join(ways, "qid").join(asked, "answer_id").select("answer_id", "n", "ways")
-    holds = lambda which: F.forall("ways", which)
-    value = F.when(holds(lambda w: F.contains("text", w[0])), 2).when(holds(lambda w: F.exists(w, lambda t: F.contains("text", t))), 1)
-    best = _over_extracts(need, extracts, "ways", value, F.max).groupBy("answer_id").agg(F.max("found").alias("found"))
+    need = materialize(answers.select("answer_id", "qid").join(ways, "qid").join(asked, "answer_id").select("answer_id", "doc_id", "ways"), "need")
+    found = fulfilled(need.select("doc_id", "ways").distinct(), texts)
+    best = need.join(found, ["doc_id", "ways"]).groupBy("answer_id").agg(F.max("found").alias("found"))
     return answers.select("answer_id").join(best, "answer_id", "left").select("answer_id", F.coalesce(F.col("found") == 2, F.lit(False)).alias("strict"), F.col("found").isNotNull().alias("aliased"))
